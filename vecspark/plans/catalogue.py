@@ -1,0 +1,4 @@
+"""The registered queries of the vector engine and their SQL twins."""
+
+QUERIES = {}
+ORACLE_SQL = {}
