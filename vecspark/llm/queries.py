@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, minhash, quality
+from . import hmm, minhash, packing, quality, secrets, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(sstable.token_table(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -29,6 +41,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hmm_lm_scoring": op2_hmm_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_vector_packing": op4_vector_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_token_sstables": op6_token_sstables,
     "op8_quality_rules": op8_quality_rules,
 }
 
