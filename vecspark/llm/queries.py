@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, minhash, packing, quality, secrets, sstable
+from . import hmm, minhash, packing, quality, secrets, sstable, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hmm_lm_scoring": op2_hmm_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_sstables": op6_token_sstables,
     "op8_quality_rules": op8_quality_rules,
+    "op10_fm_substring_dedup": op10_fm_substring_dedup,
 }
 
 OP8_SQL = r"""
@@ -80,7 +85,19 @@ SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, min(r.y) AS component_i
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM g),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM m, range(13) r(o) WHERE low < doc_id),
+x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda v, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN x ON w.doc_id = x.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_fm_substring_dedup": OP10_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op8_quality_rules": OP8_SQL,
 }
