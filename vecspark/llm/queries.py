@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hmm, minhash, packing, quality, secrets, sstable, substrings
+from . import bm25, hmm, licenses, minhash, packing, quality, secrets, sstable, substrings
+from .common import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,22 @@ def op6_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(sstable.token_table(table(spark, sf_dir, "documents")))
 
 
+def op7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of `benchmark` against all documents."""
+    index = cut(bm25.build_index(table(spark, sf_dir, "documents")), "index")
+    found = bm25.search(index, table(spark, sf_dir, "benchmark"), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.verdicts(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -43,11 +56,13 @@ def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_hmm_lm_scoring": op2_hmm_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_vector_packing": op4_vector_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_sstables": op6_token_sstables,
+    "op7_bm25_topk": op7_bm25_topk,
     "op8_quality_rules": op8_quality_rules,
     "op10_fm_substring_dedup": op10_fm_substring_dedup,
 }
@@ -96,7 +111,21 @@ SELECT w.doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_
 FROM w LEFT JOIN x ON w.doc_id = x.doc_id
 """
 
+OP7_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM low),
+s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d),
+f AS (SELECT doc_id, dl, t, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS t FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id AS query_id, doc_id, sum(qf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / mean))) AS score
+  FROM q JOIN df ON q.t = df.t JOIN f ON f.t = q.t, s GROUP BY item_id, doc_id)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_bm25_topk": OP7_SQL,
     "op10_fm_substring_dedup": OP10_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op8_quality_rules": OP8_SQL,
