@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, hmm, licenses, minhash, packing, quality, secrets, sstable, substrings
+from . import bm25, hmm, licenses, minhash, packing, quality, secrets, segmentation, sstable, substrings
 from .common import cut
 
 
@@ -51,6 +51,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.digest(segmentation.sampled_segmentations(table(spark, sf_dir, "documents")))
+
+
 def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_sstables": op6_token_sstables,
     "op7_bm25_topk": op7_bm25_topk,
     "op8_quality_rules": op8_quality_rules,
+    "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_fm_substring_dedup": op10_fm_substring_dedup,
 }
 
