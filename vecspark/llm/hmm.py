@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free_shuffles, texts
+from .common import cut, free_shuffles, sliced, texts
 
 STATES = 8
 HEAD_CLASSES, HASH_CLASSES = 2048, 2048
@@ -57,10 +57,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
 
         c: Counter[bytes] = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for t in texts(b.column(0)):
                 c.update(split(t))
-                if len(c) > 500_000:
+                if len(c) > 150_000:
                     yield out()
                     c.clear()
         yield out()
@@ -104,14 +104,14 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     class Entries(dict):
         def __missing__(self, w: bytes) -> tuple:
-            if len(self) > 300_000:
+            if len(self) > 100_000:
                 self.clear()
             e = self[w] = (*v.entry(w), w not in v.top)
             return e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, rid = Entries(), (TaskContext.get().partitionId() << 33) - 1
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple] = []
             for t in texts(b.column(2)):
                 words = split(t)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import texts
+from .common import sliced, texts
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     kinds = [r.kind for r in BASE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = find_spans(texts(b.column(1)))
             counts = [pa.array([sum(k == kind for _, _, k in s) for s in found], pa.int64()) for kind in kinds]
             marks = pa.array([sha256(joined(s, set(kinds)).encode()).hexdigest() for s in found], pa.string())
@@ -138,7 +138,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, its columns unchanged but for the text, in which secrets are masked (null stays null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             i = b.schema.get_field_index(text)
             found = find_spans(texts(b.column(i)))
             new = [mask(t, s) if s else t for t, s in zip(b.column(i).to_pylist(), found)]

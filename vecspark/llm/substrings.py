@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, cut, drop, free_shuffles, gram_hashes, texts
+from .common import WORD_HASHES, cut, drop, free_shuffles, gram_hashes, sliced, texts
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -60,7 +60,7 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = [stretches(WORD_HASHES.of(t.split()), window) for t in texts(b.column(2))]
             n = [len(a) for a, _, _ in got]
             flat = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3)]
@@ -74,7 +74,7 @@ def _contents(joined: DataFrame, window: int) -> DataFrame:
     """The words of the stretches of (doc, mark, text, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple] = []
             for doc, mark, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist()):
                 words = text.split()
@@ -172,7 +172,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     joined = rows.join(flagged, ["doc", "mark"], "left").select("doc_id", "_t", "windows", *[f"keep_{c}" for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n_words, n_removed, left = [], [], []
             for x, windows in zip(texts(b.column(1)), b.column(2).to_pylist()):
                 words = x.split()
