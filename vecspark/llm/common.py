@@ -90,26 +90,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, computed once per word; cleared when it holds `limit` words."""
-
-    def __init__(self, limit: int = 100_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-WORD_HASHES = WordHashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_factors = [mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)]
+
+
+def word_hashes(batch: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text: a multilinear hash of the bytes, all words of a batch at once."""
+    data = np.frombuffer(b"\n".join(batch) + b"\n", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in batch])
+    if lower:
+        data = _LOWER[data]
+    space = _SPACE[data]
+    inside = ~space
+    before = np.concatenate([[True], space[:-1]])
+    start, stop = np.flatnonzero(inside & before), np.flatnonzero(space & ~before)
+    size = stop - start
+    if len(size):
+        first = np.cumsum(size) - size
+        longest = int(size.max())
+        if longest > len(_factors[0]):
+            _factors[0] = mix64(np.arange(1, 2 * longest + 1, dtype=np.uint64)) | np.uint64(1)
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            value = (data[inside].astype(np.uint64) + np.uint64(1)) * _factors[0][place]
+            h = mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    else:
+        h = np.zeros(0, np.uint64)
+    return np.split(h, np.searchsorted(start, ends[:-1]))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

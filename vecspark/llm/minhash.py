@@ -14,7 +14,8 @@
 Banding finds a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^32, all but 5e-8.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; rows that share a doc_id
-are one node; a null doc_id links with nothing (component null, kept); extra columns are ignored.
+are one node; a row without a doc_id takes the component of the documents of equal set and is kept only if
+there is none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, cut, drop, free_shuffles, gram_hashes, mix64, texts
+from .common import cut, drop, free_shuffles, gram_hashes, mix64, sliced, texts, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -41,20 +42,24 @@ MISS = 1e-9
 #: Buckets up to this size get all their open pairs at once: at most SMALL / 2 a row.
 SMALL = 16
 #: Partners tried a round for each open member of a larger bucket.
-TRIES = 4
+TRIES = 1
+#: Members of a block of a larger bucket.
+BLOCK = 4096
 
 _rng = np.random.RandomState(20_240_501)
 _MULT = (_rng.randint(0, 2**32, BANDS * ROWS, np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, BANDS * ROWS, np.uint64)) | np.uint64(1)
 _XOR = _rng.randint(0, 2**32, BANDS * ROWS, np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, BANDS * ROWS, np.uint64)
 
 
-def shingle_set(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-word shingles; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = WORD_HASHES.of(words)
-    return np.unique(gram_hashes(h, n)) if len(words) >= n else gram_hashes(h, len(words)) ^ np.uint64(len(words))
+def shingle_sets(batch: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's n-word shingles; a shorter text is one shingle."""
+    out = []
+    for h in word_hashes(batch, lower=True):
+        if len(h) >= n:
+            out.append(np.unique(gram_hashes(h, n)))
+        else:
+            out.append(gram_hashes(h, len(h)) ^ np.uint64(len(h)) if len(h) else h)
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -88,8 +93,8 @@ def prepare(docs: DataFrame, shingle: int, id_col: str = "doc_id", text: str = "
     """doc_id, n (set size), f1, f2 (fingerprint of the set), sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle) for t in texts(b.column(1))]
+        for b in sliced(batches):
+            sets = shingle_sets(texts(b.column(1)), shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             marks = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2)
             sig = [None] * len(sets)
@@ -104,7 +109,7 @@ def prepare(docs: DataFrame, shingle: int, id_col: str = "doc_id", text: str = "
 
 
 def band_keys(sigs: DataFrame) -> DataFrame:
-    """(node, key) of each of the BANDS bands of each signature."""
+    """(node, key, band) of each of the BANDS bands of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,9 +120,10 @@ def band_keys(sigs: DataFrame) -> DataFrame:
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b.num_rows, BANDS)).copy()
                 for r in range(ROWS):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(key.view(np.int64).ravel())], names=["node", "key"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(key.view(np.int64).ravel()), pa.array(band)], names=["node", "key", "band"])
 
-    return sigs.select("node", "sig").mapInArrow(run, "node long, key long")
+    return sigs.select("node", "sig").mapInArrow(run, "node long, key long, band int")
 
 
 @cache
@@ -173,8 +179,8 @@ def gram_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, f1, grams) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle) for t in texts(b.column(1))]
+        for b in sliced(batches):
+            sets = shingle_sets(texts(b.column(1)), shingle)
             marks = np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "f1", "grams"])
 
@@ -189,10 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = cut(rows.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left"), "members")
     heads = rows.join(member.where("doc_id = node").select("f1", "f2", "node").distinct(), ["f1", "f2"]).where("doc_id = node")
     sigs = cut(heads.groupBy("node").agg(F.min("f1").alias("f1"), F.min_by("n", "f1").alias("n"), F.min_by("sig", "f1").alias("sig")), "signatures")
-    same_id = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id")
+    same_id = member.join(several, "doc_id", "left_semi").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     drop(rows)
 
-    keys = band_keys(sigs).distinct()
+    keys = band_keys(sigs)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(keys.join(shared, "key"), "buckets")
     wanted = docs.select(F.col(id_col).alias("node"), F.col(text).alias("text")).join(buckets.select("node").distinct(), "node", "left_semi")
@@ -203,26 +210,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tried = pairs
     links = cut(verify(pairs, sigs, sets, threshold, miss), "links")
     label = components(links)
-    hot = bool(buckets.where(F.col("size") > SMALL).limit(1).count())
-    # Small buckets: all open pairs. Larger ones: a few partners a turn, and what is still open at last.
-    for turn in range(1, 5 if hot else 2):
-        state = buckets.join(label, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    # Small buckets: all open pairs. Larger ones: a few partners in two turns, and what is still open at last.
+    for turn in (1, 2, 3):
+        state = buckets.join(label, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))
+        state = state if turn == 1 else state.where(F.col("size") > SMALL)
         open_ = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         state = cut(state.join(open_, "key"), "open")
         large = state.where(F.col("size") > SMALL)
-        pairs = open_pairs(large) if turn == 4 else few_pairs(large, turn)
+        pairs = block_pairs(large, sigs, threshold, miss) if turn == 3 else few_pairs(large, turn)
         if turn == 1:
             pairs = pairs.unionByName(open_pairs(state.where(F.col("size") <= SMALL)))
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = cut(verify(pairs, sigs, sets, threshold, miss), "links")
+        left = bool(large.limit(1).count())
         drop(state)
         tried = tried.unionByName(pairs)
         if more.limit(1).count():
             links = links.unionByName(more)
             label = components(links)
         free_shuffles(spark)
+        if not left:
+            break
     # Documents of equal sets hang on their class; a doc_id with several texts joins their classes.
-    roots = components(links.unionByName(same_id))
+    roots = components(links.unionByName(same_id)) if same_id.limit(1).count() else label
     drop(sets)
     drop(sigs)
     out = member.join(roots, F.coalesce(member.node, member.doc_id) == roots.node, "left").select(
@@ -232,12 +242,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def open_pairs(state: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different components in a bucket."""
+    """All pairs (a < b) of different components in a bucket; for buckets of a bounded size."""
     x = state.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
     y = state.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
     return x.join(y, "key").where("ca <> cb and a < b").select("a", "b")
 
 
+def block_pairs(state: DataFrame, sigs: DataFrame, threshold: tuple[int, int], miss: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of different components in a bucket that pass the sequential test, for buckets of any size.
+
+    A bucket is dealt into blocks of about `block` members, and each two blocks meet in one group, which
+    compares only members of different components. Only pairs that pass leave the group.
+    """
+    num, den = threshold
+    least = least_matches(miss, num / den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(group: list[tuple]) -> pa.RecordBatch:
+            node, comp, n, side = (np.array(c, np.int64) for c in list(zip(*group))[2:6])
+            sig = np.frombuffer(b"".join(g[7] for g in group), np.uint32).reshape(len(group), -1)
+            earlier = group[0][6] * ROWS
+            names, counts = np.unique(comp, return_counts=True)
+            rest = comp != names[counts.argmax()]
+            few = np.flatnonzero(rest)  # each open pair has one of these
+            out_a, out_b = [], []
+            for i in few.tolist():
+                other = (comp != comp[i]) & (~rest | (node > node[i])) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+                if group[0][8]:
+                    other &= side != side[i]
+                j = np.flatnonzero(other)
+                matches = np.zeros(len(j), np.int64)
+                for look, need in enumerate(least):
+                    part = slice(look * BATCH, (look + 1) * BATCH)
+                    matches += (sig[j, part] == sig[i, part]).sum(1)
+                    j, matches = j[matches >= need], matches[matches >= need]
+                # A pair that shares several buckets counts in the first.
+                same = (sig[j, :earlier] == sig[i, :earlier]).reshape(len(j), earlier // ROWS, ROWS).all(2).any(1)
+                j = j[~same]
+                out_a.append(np.minimum(node[i], node[j]))
+                out_b.append(np.maximum(node[i], node[j]))
+            z = np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([z, *out_a])), pa.array(np.concatenate([z, *out_b]))], names=["a", "b"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[:2] != held[0][:2]:
+                    yield answer(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield answer(held)
+
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    # Block i meets block j: group min * blocks + max.
+    rows = state.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("meet", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).join(sigs.select("node", "n", "sig"), "node")
+    dealt = rows.select("key", "meet", "node", "component", "n", F.col("mine").cast("long").alias("side"), "band", "sig", (F.col("mine") != F.col("other")).alias("across")).repartition("key", "meet").sortWithinPartitions("key", "meet")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def few_pairs(state: DataFrame, turn: int) -> DataFrame:
     """Pairs of each member and up to TRIES members of other components, the same in all of a bucket.
 
