@@ -42,7 +42,7 @@ class WaveletMatrix:
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
     rank = np.empty(len(keys), np.int64)
     rank[order] = new

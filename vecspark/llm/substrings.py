@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, cut, drop, free_shuffles, gram_hashes, sliced, texts
+from .common import cut, drop, free_shuffles, gram_hashes, sliced, texts, word_hashes
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -61,7 +61,7 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            got = [stretches(WORD_HASHES.of(t.split()), window) for t in texts(b.column(2))]
+            got = [stretches(h, window) for h in word_hashes(texts(b.column(2)))]
             n = [len(a) for a, _, _ in got]
             flat = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3)]
             at = np.repeat(np.arange(len(n)), n)
@@ -90,10 +90,10 @@ def _search(unique: DataFrame, window: int, shard: int) -> DataFrame:
     """(route, h, least array): of each distinct stretch, the least document of each of its windows."""
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
-        split = [w.encode().split(b" ") for _, _, w, _, _ in rows]
-        number: dict[bytes, int] = {}
-        flat = np.array([number.setdefault(w, len(number) + 1) for ws in split for w in ws], np.int64)
-        sizes = np.array([len(ws) for ws in split])
+        # Words become dense numbers by their hashes.
+        hashes = word_hashes([w.encode() for _, _, w, _, _ in rows])
+        sizes = np.array([len(h) for h in hashes])
+        flat = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int64) + 1
         starts = np.cumsum(sizes) - sizes
         low, high = (np.array([r[i] for r in rows], np.int64) for i in (3, 4))
         least = FMIndex(flat, sizes, low, window).least_values(flat, starts, sizes)
@@ -157,7 +157,11 @@ def flagged_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     free_shuffles(spark)
     hits = parts.select("doc", "mark", "first", "route", "h").join(least, ["route", "h"])
     hits = hits.withColumn("w", F.expr("transform(filter(transform(least, (v, i) -> if(v < doc, i, -1)), i -> i >= 0), i -> first + i)")).where("size(w) > 0")
-    return hits.groupBy("doc", "mark").agg(F.flatten(F.collect_list("w")).alias("windows"))
+    out = cut(hits.groupBy("doc", "mark").agg(F.flatten(F.collect_list("w")).alias("windows")), "flagged")
+    drop(parts)
+    drop(least)
+    free_shuffles(spark)
+    return out
 
 
 def _unique(parts: DataFrame) -> DataFrame:
@@ -166,7 +170,7 @@ def _unique(parts: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (remaining words, one space between) and the `keep` columns of every row."""
-    flagged = cut(flagged_windows(docs, id_col, text, window), "flagged")
+    flagged = flagged_windows(docs, id_col, text, window)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(t).alias("mark"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     joined = rows.join(flagged, ["doc", "mark"], "left").select("doc_id", "_t", "windows", *[f"keep_{c}" for c in keep])
