@@ -195,7 +195,7 @@ def ids_of(name, texts):
 
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_encoder_is_exact(name, lead):
-    parts = ["Hello", " ", "  ", "\n", "\t", "world's", "don't", "é", " ", "123", "!!", "<|endoftext|>", "ﬁ", "İ", "é", " ", "\x1c", "Σ"]
+    parts = ["Hello", " ", "  ", "\n", "\t", "world's", "don't", "é", " ", "123", "!!", "<|endoftext|>", "ﬁ", "İ", "é", " ", "\x1c", "Σ", "Größe,", "ª", "word.", "É", "µ", "STRASSE", "naïve"]
     texts = ["".join(RNG.choice(parts, RNG.randint(0, 14))) for _ in range(800)] + ["", " ", "a b"]
     enc = encoder(public_path(name), lead)
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == ids_of(name, texts)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Only between visible characters: runs of white space stay whole, as their split depends on what follows.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts encoded at once when pieces are missing.
-_ROUND = 4000
+
+
+#: Byte-level pre-tokens spell a byte that is not printable as the next character from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = _BYTES[32]
 
 
 class Encoder:
@@ -31,6 +34,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.lead, self.limit = lead, limit
         self.known: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -38,14 +42,34 @@ class Encoder:
             pieces = [self.pieces(t) for t in texts[i : i + 64]]
             if len(self.known) > self.limit:
                 self.known.clear()
-            missing = list({p for ps in pieces for p in ps if p not in self.known})
-            for j in range(0, len(missing), _ROUND):
-                part = missing[j : j + _ROUND]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
+            for p in {p for ps in pieces for p in ps if p not in self.known}:
+                self.known[p] = self.piece(p)
             out += [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
         return out
 
+    def piece(self, p: str) -> bytes:
+        """The tokenizer's own steps over one piece: normalise, pre-tokenize, apply the merges to new pre-tokens."""
+        space = p[:1] == " "
+        core = p[1:] if space else p
+        mark = core[-1:] if core[-1:] in (".", ",") else ""
+        word = core[:-1] if mark else core
+        if word.isalpha() and max(word) < "\u0100":
+            # A Latin word and perhaps a mark: the two pre-tokens are known without asking.
+            if not self.lead:
+                word = word.lower()
+            first = self.merge((_SPACE if space and self.lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)))
+            return first + self.merge(mark) if mark else first
+        t = self.tokenizer
+        return b"".join(self.merge(x) for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(p) if t.normalizer else p))
+
+    def merge(self, token: str) -> bytes:
+        ids = self.merged.get(token)
+        if ids is None:
+            if len(self.merged) > self.limit:
+                self.merged.clear()
+            ids = self.merged[token] = array("I", [x.id for x in self.tokenizer.model.tokenize(token)]).tobytes()
+        return ids
+
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
