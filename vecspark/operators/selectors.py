@@ -27,9 +27,8 @@ def id_array(ids: Iterable[int]) -> Selector:
 
 def id_bitmap(bitmap: bytes) -> Selector:
     """Bit id & 7 of byte id >> 3; ids outside are not selected."""
-    lit = F.lit(bytearray(bitmap))
     n = 8 * len(bitmap)
-    byte = lambda c: F.conv(F.hex(F.substring(lit, (c / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = lambda c: F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), (c / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return lambda c: F.when((c >= 0) & (c < n), F.getbit(F.coalesce(byte(c), F.lit(0)), (c % 8).cast("int")) == 1).otherwise(False)
 
 
