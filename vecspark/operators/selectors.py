@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 Selector = Callable[[Column], Column]
 #: Longer lists go through a join instead of an IN list.
@@ -35,7 +36,7 @@ def id_bitmap(bitmap: bytes) -> Selector:
 def id_call(f: Callable[[int], bool]) -> Selector:
     """A Python predicate, applied to Arrow batches."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def go(s: pd.Series) -> pd.Series:
         return s.map(f).astype(bool)
 
