@@ -31,3 +31,19 @@ def test_query_matches_sql(spark, duck, name):
     names = [c[0] for c in rel.description]
     assert sorted(names) == sorted(got.columns)
     assert rows([r.asDict() for r in got.collect()], names) == rows([dict(zip(names, r)) for r in rel.fetchall()], names)
+
+
+def test_searches_have_every_query(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    want = {r.vec_id for r in e.where("vec_id % 20 = 0").select("vec_id").collect()}
+    n = e.count()
+    for name in ("knn_l2", "filter_pre", "sel_all", "ivf_flat_exhaustive", "pq_adc"):
+        assert {r.query_id for r in catalogue.QUERIES[f"{name}_whole"](spark, DATA).select("query_id").collect()} == want
+    assert catalogue.QUERIES["pairwise_l2_whole"](spark, DATA).count() == n * len(want)
+    assert catalogue.QUERIES["pairwise_indexed_ip_whole"](spark, DATA).count() == n
+
+
+def test_whole_searches_have_no_id_cut():
+    for name in catalogue.QUERIES:
+        if name.endswith("_whole") and name in catalogue.ORACLE_SQL:
+            assert catalogue.ORACLE_SQL[name] != catalogue.ORACLE_SQL[name.removesuffix("_whole")], name

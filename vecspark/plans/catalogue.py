@@ -1,12 +1,14 @@
 """The registered queries of the vector engine and their SQL twins.
 
 Queries are the vectors with vec_id < 20 and the base is all vectors; trained artefacts are fixed (centroids are
-the vectors with vec_id < 16), so that SQL can state every result. Distances are rounded to six digits.
+the vectors with vec_id < 16), so that SQL can state every result. Distances are rounded to six digits. Each search
+NAME is registered again as NAME_whole: its queries are the vectors whose vec_id is divisible by 20, and no side is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from ..operators import codecs, exact, graph, ivf, kmeans, maintenance, selector
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 D = 64
+#: True while a NAME_whole query is declared.
+_whole = ContextVar("whole", default=False)
 
 
 def query(name: str, sql: str | None = None):
@@ -45,7 +49,17 @@ def base(spark: SparkSession, sf_dir: str, change: str | None = None) -> DataFra
 
 def sides(spark: SparkSession, sf_dir: str, change: str | None = None, n: int = 20) -> tuple[DataFrame, DataFrame]:
     b = base(spark, sf_dir, change)
-    return b.where(F.col("id") < n), b
+    return asked(b, n), b
+
+
+def asked(b: DataFrame, n: int = 20) -> DataFrame:
+    """The rows of b that are queries."""
+    return b.where("id % 20 = 0") if _whole.get() else b.where(F.col("id") < n)
+
+
+def below(b: DataFrame, n: int) -> DataFrame:
+    """The rows of b with id < n, or all of them in a NAME_whole query."""
+    return b if _whole.get() else b.where(F.col("id") < n)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -146,7 +160,7 @@ def search_and_reconstruct(spark, sf_dir):
 @query("knn_padded", f"SELECT g.qid AS query_id, g.r AS rank, coalesce(k.id, -1) AS id, coalesce(k.distance, 'inf'::double) AS distance FROM (SELECT vec_id AS qid, r FROM embeddings, range(1, 13) t(r) WHERE vec_id < 20) g LEFT JOIN ({sql_knn('l2', 12, where='b.id < 9')}) k ON g.qid = k.query_id AND g.r = k.rank")
 def knn_padded(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return exact.padded(rounded(exact.knn(q, b.where("id < 9"), 12)), q, 12)
+    return exact.padded(rounded(exact.knn(q, below(b, 9), 12)), q, 12)
 
 
 def _range(metric: str, op: str, radius: float) -> str:
@@ -177,19 +191,19 @@ def range_l2_limits(spark, sf_dir):
 @query("pairwise_l2", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS distance FROM q, b WHERE b.id < 50")
 def pairwise_l2(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return rounded(exact.pairwise(q, b.where("id < 50")))
+    return rounded(exact.pairwise(q, below(b, 50)))
 
 
 @query("pairwise_canberra", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['canberra']}, 6) + 0.0 AS distance FROM q, b WHERE b.id < 50")
 def pairwise_canberra(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return rounded(exact.pairwise(q, b.where("id < 50"), "canberra"))
+    return rounded(exact.pairwise(q, below(b, 50), "canberra"))
 
 
 @query("pairwise_indexed_ip", f"{sql_sides()}, p AS (SELECT id AS pos, id AS ix, CASE WHEN id % 5 = 0 THEN -1 ELSE id + 7 END AS iy FROM b WHERE id < 40) SELECT p.pos, p.ix, p.iy, CASE WHEN b.id IS NULL THEN '-inf'::double ELSE round({SQL_DISTANCE['ip'].replace('q.v', 'x.v')}, 6) + 0.0 END AS distance FROM p JOIN b x ON x.id = p.ix LEFT JOIN b ON b.id = p.iy")
 def pairwise_indexed_ip(spark, sf_dir):
     b = base(spark, sf_dir)
-    pairs = b.where("id < 40").select(F.col("id").alias("pos"), F.col("id").alias("ix"), F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") + 7).alias("iy"))
+    pairs = below(b, 40).select(F.col("id").alias("pos"), F.col("id").alias("ix"), F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") + 7).alias("iy"))
     return rounded(exact.pairwise_indexed(pairs, b, b, "ip"))
 
 
@@ -271,7 +285,7 @@ def sel_batch(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return e.where("id < 20").select("id", "vec"), e
+    return asked(e).select("id", "vec"), e
 
 
 @query("filter_pre", sql_knn("l2", where="b.id IN (SELECT vec_id FROM embeddings WHERE label = 3)"))
@@ -334,7 +348,7 @@ def madd_argmin(spark, sf_dir):
 @query("ip_to_l2", f"{sql_sides()} SELECT qid, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS l2 FROM q, b WHERE b.id < 30")
 def ip_to_l2(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    p = q.select(F.col("id").alias("qid"), F.col("vec").alias("x")).crossJoin(b.where("id < 30").select("id", F.col("vec").alias("y")))
+    p = q.select(F.col("id").alias("qid"), F.col("vec").alias("x")).crossJoin(below(b, 30).select("id", F.col("vec").alias("y")))
     return p.select("qid", "id", (F.round(V.ip_to_l2(V.norm2("x"), V.norm2("y"), distance("ip", "x", "y")), 6) + F.lit(0.0)).alias("l2"))
 
 
@@ -500,7 +514,7 @@ def pq_adc(spark, sf_dir):
 def pq_symmetric(spark, sf_dir):
     pq = fixed_pq(spark, sf_dir)
     d = codecs.decode(codecs.encode(base(spark, sf_dir), pq), pq)
-    p = d.where("id < 10").select(F.col("id").alias("a"), F.col("vec").alias("x")).crossJoin(d.where("id < 30").select(F.col("id").alias("b"), F.col("vec").alias("y")))
+    p = asked(d, 10).select(F.col("id").alias("a"), F.col("vec").alias("x")).crossJoin(below(d, 30).select(F.col("id").alias("b"), F.col("vec").alias("y")))
     return rounded(p.select("a", "b", codecs.symmetric_distance("x", "y").alias("distance")))
 
 
@@ -626,3 +640,35 @@ def hnsw_lvq_search(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     lvq = codecs.LocalQuantizer.train(b, 8, 5, 8)
     return rounded(graph.GraphIndex(m=16, ef_search=32, quantizer=lvq).add(b).freeze().search(q, 10))
+
+
+# --- the searches with every query ------------------------------------------------------------------------
+_SEARCHES = [
+    n
+    for n in QUERIES
+    if n.startswith(("knn_", "sel_", "filter_p", "range_", "ivf_flat", "ivf_range", "ivf_search", "ivfpq", "ivflvq", "hnsw_", "pairwise_")) and n != "knn_all_pairs"
+    or n in ("assign", "search_and_reconstruct", "distances_by_id", "merge_shards", "rerank", "id_map_search", "ip_to_l2", "result_heap", "per_line_extrema", "recall_intersection", "pq_adc", "pq_symmetric", "lvq_adc")
+]
+#: What the SQL of a NAME_whole query has in place of an id cut.
+_WHOLE_SQL = {
+    "FROM b WHERE id < 20)": "FROM b WHERE id % 20 = 0)", "WHERE vec_id < 20": "WHERE vec_id % 20 = 0", "p.id < 20": "p.id % 20 = 0", "x.id < 10 AND y.id < 30": "x.id % 20 = 0",
+    "WHERE b.id < 9": "WHERE true", "WHERE b.id < 50": "WHERE true", "WHERE b.id < 30": "WHERE true", "FROM b WHERE id < 40)": "FROM b)",
+}
+
+
+def _uncut(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return run(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    return whole
+
+
+for _name in _SEARCHES:
+    _sql = ORACLE_SQL.get(_name)
+    for _cut, _all in _WHOLE_SQL.items():
+        _sql = _sql and _sql.replace(_cut, _all)
+    query(f"{_name}_whole", _sql)(_uncut(QUERIES[_name]))
