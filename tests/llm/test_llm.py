@@ -453,3 +453,21 @@ def test_pipeline_stages(spark):
     assert clean == {i: secrets.mask(t, secrets.find_spans([t.encode()])[0]) for i, t in left.items()}
     total = sum(len(x) + 1 for x in ids_of("word_bpe_49k.json", list(clean.values())))
     assert at["packing"].agg(F.sum("length")).first()[0] == total
+
+
+# --- whole jobs ------------------------------------------------------------------------------------------------
+def test_documents_are_searched(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    asked = {r.doc_id for r in docs.where("doc_id % 20 = 0").select("doc_id").collect()}
+    got = queries.QUERIES["op7_bm25_documents"](spark, DATA).collect()
+    assert {r.query_id for r in got} == asked and {r.doc_id for r in got if r.rank == 1} & asked
+
+
+def test_queries_that_share_an_id_are_one_query(spark):
+    index = bm25.build_index(spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")).cache()
+    got = bm25.search(index, spark.createDataFrame([(5, "a"), (5, "c")], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
+def test_document_search_matches_sql(spark):
+    test_query_matches_sql(spark, "op7_bm25_documents")

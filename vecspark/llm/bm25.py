@@ -8,7 +8,8 @@ adds the block bounds of all its terms over the stretches between block ends: st
 first and the rest is skipped once the bound is below the k-th score. Segment results are merged by a window.
 
 Defined cases: a null text has length 0 and matches nothing; a query without known terms has no rows; ties go to
-the smaller doc_id; rows that share a doc_id are ranked each; extra columns are ignored.
+the smaller doc_id; rows that share a doc_id are ranked each; queries that share an id are one query of all their
+words; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,7 +157,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ite
 def _search_round(index: DataFrame, heads: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
     spark = index.sparkSession
     # At most about QUERY_BYTES of text.
-    words = {r.query_id: Counter(r.text.encode().lower().split()) for r in asked.collect()}
+    words: dict[int | None, Counter[bytes]] = {}
+    for r in asked.collect():
+        words.setdefault(r.query_id, Counter()).update(r.text.encode().lower().split())
     terms = sorted({w for c in words.values() for w in c})
     wanted = F.broadcast(spark.createDataFrame([(bytearray(t),) for t in terms], "term binary"))
     rows = cut(index.join(wanted, "term"), "postings")

@@ -34,6 +34,13 @@ def op7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op7_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose doc_id is divisible by 20 against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(cut(bm25.build_index(docs), "index"), docs.where("doc_id % 20 = 0"), 10, "doc_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_sstables": op6_token_sstables,
     "op7_bm25_topk": op7_bm25_topk,
+    "op7_bm25_documents": op7_bm25_documents,
     "op8_quality_rules": op8_quality_rules,
     "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_fm_substring_dedup": op10_fm_substring_dedup,
@@ -129,8 +137,11 @@ r AS (SELECT item_id AS query_id, doc_id, sum(qf * ln(1 + (n - df + 0.5::double)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10
 """
 
+OP7_DOCUMENTS_SQL = OP7_SQL.replace("SELECT item_id, unnest", "SELECT doc_id AS item_id, unnest").replace("FROM benchmark)", "FROM documents WHERE doc_id % 20 = 0)")
+
 ORACLE_SQL: dict[str, str] = {
     "op7_bm25_topk": OP7_SQL,
+    "op7_bm25_documents": OP7_DOCUMENTS_SQL,
     "op10_fm_substring_dedup": OP10_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op8_quality_rules": OP8_SQL,
