@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -471,3 +472,20 @@ def test_queries_that_share_an_id_are_one_query(spark):
 
 def test_document_search_matches_sql(spark):
     test_query_matches_sql(spark, "op7_bm25_documents")
+
+
+@pytest.mark.parametrize("name,lead,end", [("byte_bpe_50k.json", True, 50256), ("word_bpe_49k.json", False, 49407)])
+def test_added_tokens_are_one_id(name, lead, end):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_path(name))
+    parts = ["Hello", " ", "  ", "\n", "world's", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "endoftext|>", "Größe,", "word."]
+    texts = ["".join(RNG.choice(parts, RNG.randint(0, 14))) for _ in range(800)] + ["", "a <|endoftext|> b"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(public_path(name), lead, added=True).encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)] and end in got[-1]
+
+
+def test_packed_and_stored_ids_hold_added_tokens(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    assert 49407 in np.frombuffer(packing.pack(df).first().ids, "<u4")
+    assert 50256 in np.frombuffer(sstable.read_shards(sstable.write_shards(df, f"file://{tempfile.mkdtemp()}/t", shards=1).cache()).first().ids, "<u4")

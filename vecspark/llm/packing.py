@@ -132,7 +132,7 @@ def pack(
     path = tokenizer or public_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path, False), Packer(limits)
+        enc, packer = encoder(path, False, added=True), Packer(limits)
         serial = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
 

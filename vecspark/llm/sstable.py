@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     dealt = rows.withColumn("shard", shard).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, writer, name, last, serial, shard = encoder(source, True), None, None, "", (), 0, 0
+        enc, out, writer, name, last, serial, shard = encoder(source, True, added=True), None, None, "", (), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

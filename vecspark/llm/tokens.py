@@ -24,14 +24,19 @@ class Encoder:
     """ids(text) of a tokenizer file as little-endian unsigned 32-bit bytes.
 
     `lead` says that a piece takes the space before it (byte-level BPE); else spaces vanish.
+    `added` says that a literal of an added token, like <|endoftext|>, is that token, as the library has it by default;
+    else it is ordinary text. Texts that hold one are encoded whole by the library.
     """
 
-    def __init__(self, path: str, lead: bool, limit: int = 250_000):
+    def __init__(self, path: str, lead: bool, limit: int = 250_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        # A pattern of the added tokens, in any case: some are matched after normalisation.
+        literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, literals)), re.I) if literals else None
         self.lead, self.limit = lead, limit
         self.known: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
@@ -39,14 +44,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
-            pieces = [self.pieces(t) for t in texts[i : i + 64]]
+            part = texts[i : i + 64]
+            whole = {k for k, t in enumerate(part) if self.added and self.added.search(t)}
+            pieces = [[] if k in whole else self.pieces(t) for k, t in enumerate(part)]
             if len(self.known) > self.limit:
                 self.known.clear()
             for p in {p for ps in pieces for p in ps if p not in self.known}:
                 self.known[p] = self.piece(p)
-            out += [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
+            out += [self.library(part[k]) if k in whole else b"".join(map(self.known.__getitem__, ps)) for k, ps in enumerate(pieces)]
         return out
 
+    def library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def piece(self, p: str) -> bytes:
         """The tokenizer's own steps over one piece: normalise, pre-tokenize, apply the merges to new pre-tokens."""
         space = p[:1] == " "
@@ -77,14 +87,14 @@ class Encoder:
         return [parts[0], *[" " + p for p in parts[1:]]] if self.lead else parts
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, lead: bool) -> Encoder:
+def encoder(path: str, lead: bool, added: bool = False) -> Encoder:
     """One encoder a worker process and file: its cache serves all its tasks."""
-    if (path, lead) not in _encoders:
-        _encoders[path, lead] = Encoder(path, lead)
-    return _encoders[path, lead]
+    if (path, lead, added) not in _encoders:
+        _encoders[path, lead, added] = Encoder(path, lead, added=added)
+    return _encoders[path, lead, added]
 
 
 def public_path(name: str) -> str:
