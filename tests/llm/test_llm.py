@@ -489,3 +489,18 @@ def test_packed_and_stored_ids_hold_added_tokens(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     assert 49407 in np.frombuffer(packing.pack(df).first().ids, "<u4")
     assert 50256 in np.frombuffer(sstable.read_shards(sstable.write_shards(df, f"file://{tempfile.mkdtemp()}/t", shards=1).cache()).first().ids, "<u4")
+
+
+def test_training_sees_whole_texts_at_every_pass(spark, monkeypatch):
+    seen, unigram = [], np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+    texts = [RNG.randint(0, hmm.CLASSES, n).astype(np.uint16) for n in (300, 129, 1)]
+    coded = spark.createDataFrame([(i, False, bytearray(t.tobytes())) for i, t in enumerate(texts)], "rid long, held_out boolean, classes binary")
+    m = hmm.Model.first(unigram)
+    out = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.CLASSES)
+    hmm.expected_counts(m, texts, out)
+    want, got = hmm.Model.of_counts(out, unigram), hmm.baum_welch(coded, m, unigram)
+    assert np.allclose(got.move, want.move, rtol=1e-4) and np.allclose(got.start, want.start, rtol=1e-4)
+    monkeypatch.setattr(hmm, "baum_welch", lambda rows, m, u: seen.append(rows.count()) or m)
+    v = type("V", (), {"head": {}, "top": {}, "class_c": np.ones(hmm.HASH_CLASSES), "end": 3})()
+    hmm.train(coded, v)
+    assert seen == [3] * hmm.PASSES

@@ -7,9 +7,8 @@ its smoothed corpus count. So the model is of fixed size, while the counts behin
 1. Word counts of all training texts: counted in the task, summed by word.
 2. One pass turns each text into class numbers (2 bytes a token). Words among the LOOKUP most frequent,
    a fixed number, are looked up in the task; the rest keep their text for a join with the counts.
-3. Baum-Welch: each task runs scaled forward-backward over its training texts, cut into segments, in
-   lockstep, and emits expected counts, which Spark sums. WARM passes over one SLICE-th of the texts settle
-   the start; PASSES passes go over all of them.
+3. Baum-Welch: PASSES passes over all training texts. Each task runs scaled forward-backward over its whole
+   texts in lockstep and emits expected counts, which Spark sums.
 4. The scaled forward recursion over each whole text gives its exact log likelihood; the rest words' terms
    come from the join and are added.
 
@@ -37,9 +36,10 @@ HEAD_CLASSES, HASH_CLASSES = 2048, 2048
 END, CLASSES = HEAD_CLASSES + HASH_CLASSES, HEAD_CLASSES + HASH_CLASSES + 1
 #: Words with their counts that every task holds: a fixed number, about 5 MB.
 LOOKUP = 65_536
-SEGMENT = 128
-WARM, SLICE, PASSES = 5, 16, 2
+PASSES = 7
 SEED = 7
+#: Tokens trained on at a time; a longer text is taken alone.
+TRAINED = 500_000
 #: Tokens scored at a time.
 BUFFER = 3_000_000
 ADD = 0.1
@@ -157,28 +157,30 @@ def lanes(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def expected_counts(m: Model, parts: list[np.ndarray], out: np.ndarray) -> None:
-    """Adds the expected start, transition and emission counts of the parts (segments) to out."""
+    """Adds the expected start, transition and emission counts of the parts (whole texts) to out."""
     flat, starts, size = lanes(parts)
     n, top = len(size), int(size[0])
     active = [int(np.searchsorted(-size, -t)) for t in range(top)]  # lanes longer than t
     move, emit = m.move.astype(np.float32), np.ascontiguousarray(m.emit.T.astype(np.float32))
-    alpha, scale = np.zeros((top, n, STATES), np.float32), np.ones((top, n), np.float32)
+    # A row a token, so that a long text beside short ones takes no more than its own.
+    alpha, scale = np.zeros((len(flat), STATES), np.float32), np.ones(len(flat), np.float32)
     for t in range(top):
         k = active[t]
-        a = emit[flat[starts[:k] + t]]
-        a *= m.start.astype(np.float32) if t == 0 else alpha[t - 1, :k] @ move
+        at = starts[:k] + t
+        a = emit[flat[at]]
+        a *= m.start.astype(np.float32) if t == 0 else alpha[at - 1] @ move
         s = a.sum(1)
-        np.divide(a, s[:, None], out=alpha[t, :k])
-        scale[t, :k] = s
+        alpha[at] = a / s[:, None]
+        scale[at] = s
     beta, moved = np.ones((n, STATES), np.float32), np.zeros((STATES, STATES))
     gamma = np.zeros((len(flat), STATES), np.float32)
     for t in range(top - 1, -1, -1):
         k = active[t]
         at = starts[:k] + t
-        gamma[at] = alpha[t, :k] * beta[:k]
+        gamma[at] = alpha[at] * beta[:k]
         if t:
-            x = emit[flat[at]] * beta[:k] / scale[t, :k, None]
-            moved += alpha[t - 1, :k].T @ x
+            x = emit[flat[at]] * beta[:k] / scale[at, None]
+            moved += alpha[at - 1].T @ x
             beta[:k] = x @ move.T
     out[:STATES] += gamma[starts].sum(0)
     out[STATES : STATES + STATES**2] += (moved * m.move).ravel()
@@ -192,13 +194,15 @@ def baum_welch(rows: DataFrame, m: Model, unigram: np.ndarray) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(STATES + STATES**2 + STATES * CLASSES)
         held: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for c in b.column(0).to_pylist():
                 k = np.frombuffer(c, np.uint16)
-                held += [k[i : i + SEGMENT] for i in range(0, len(k), SEGMENT)]
-                if len(held) >= 4096:
+                if held and size + len(k) > TRAINED:
                     expected_counts(m, held, out)
-                    held = []
+                    held, size = [], 0
+                held.append(k)
+                size += len(k)
         if held:
             expected_counts(m, held, out)
         at = np.nonzero(out)[0]
@@ -260,8 +264,8 @@ def train(coded: DataFrame, v: Vocabulary) -> Model:
     unigram /= unigram.sum()
     m = Model.first(unigram)
     rows = coded.where("not held_out")
-    for i in range(WARM + PASSES):
-        m = baum_welch(rows.where(F.pmod(F.xxhash64("rid"), F.lit(SLICE)) == 0) if i < WARM else rows, m, unigram)
+    for _ in range(PASSES):
+        m = baum_welch(rows, m, unigram)
     return m
 
 
