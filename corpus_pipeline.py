@@ -26,10 +26,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    ids = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Rows are judged by a number of their own in order of doc_id, null last: rows that share an id or have none are
+    judged each.
+    """
+    rows = cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ids = minhash.near_duplicates(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(ids, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +53,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048, one row a piece."""
-    return packing.pack(docs).drop("ids")
+    """Token sequences of at most 2048, one row a piece with its ids."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

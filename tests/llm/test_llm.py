@@ -504,3 +504,13 @@ def test_training_sees_whole_texts_at_every_pass(spark, monkeypatch):
     v = type("V", (), {"head": {}, "top": {}, "class_c": np.ones(hmm.HASH_CLASSES), "end": 3})()
     hmm.train(coded, v)
     assert seen == [3] * hmm.PASSES
+
+
+def test_pipeline_judges_every_row_and_keeps_ids(spark):
+    import corpus_pipeline
+
+    a, b = prose(60, 11), prose(60, 12)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (None, a), (None, prose(60, 13)), (None, prose(60, 13))], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup_stage(spark, df, DATA)
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(1, a), (1, b), (0, prose(60, 13))])
+    assert "ids" in corpus_pipeline.packing_stage(spark, got, DATA).columns
