@@ -47,3 +47,23 @@ def test_whole_searches_have_no_id_cut():
     for name in catalogue.QUERIES:
         if name.endswith("_whole") and name in catalogue.ORACLE_SQL:
             assert catalogue.ORACLE_SQL[name] != catalogue.ORACLE_SQL[name.removesuffix("_whole")], name
+
+
+def test_default_index_is_exact_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    from vecspark.sources.artefacts import FlatIndex
+    from vecspark.sources.collection import make_index
+
+    rows = spark.range(100_001).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("vec"))
+    index = make_index(rows, 2)
+    assert isinstance(index, FlatIndex)
+    q = spark.createDataFrame([(0, [70_000.2, 0.0])], "id long, vec array<double>")
+    assert [r.id for r in index.search(q, 3).orderBy("rank").collect()] == [70_000, 70_001, 69_999]
+
+
+@pytest.mark.parametrize("name", ["hnsw_search_whole", "hnsw_pq_search_whole", "hnsw_lvq_search_whole"])
+def test_graph_searches_find_nine_in_ten(spark, name):
+    hits = lambda n: {(r.query_id, r.id) for r in catalogue.QUERIES[n](spark, DATA).collect()}
+    exact = hits("knn_l2_whole")
+    assert len(exact & hits(name)) >= 0.9 * len(exact)

@@ -22,11 +22,9 @@ from .store import RowStore
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{0,254}")
 OVERSAMPLE = 8
-#: Rows up to which AUTOINDEX searches exactly.
-AUTO_FLAT = 100_000
 #: Documented index types by lower-case name.
 INDEX_TYPES = {
-    "flat": "flat", "autoindex": "auto", "hnsw": "hnsw", "hnswflat": "hnsw", "hnswpq": "hnsw_pq", "hnswlvq": "hnsw_lvq", "hnsw_pq": "hnsw_pq", "hnsw_lvq": "hnsw_lvq",
+    "flat": "flat", "autoindex": "flat", "hnsw": "hnsw", "hnswflat": "hnsw", "hnswpq": "hnsw_pq", "hnswlvq": "hnsw_lvq", "hnsw_pq": "hnsw_pq", "hnsw_lvq": "hnsw_lvq",
     "ivf_flat": "ivf", "ivfflat": "ivf", "ivf_pq": "ivf_pq", "ivfpq": "ivf_pq", "ivf_lvq": "ivf_lvq", "ivflvq": "ivf_lvq", "pq": "pq", "lvq": "lvq",
 }
 
@@ -46,8 +44,6 @@ def make_index(rows: DataFrame, dim: int, kind: str = "AUTOINDEX", metric: str =
     nlist, nlocal, nbits, m_pq, m_hnsw = (int(p.get(k, d)) for k, d in (("nlist", 1024), ("nlocal", 16), ("nbits", 8), ("m_pq", 8), ("m_hnsw", 32)))
     if which.endswith("pq") and dim % m_pq:
         raise ValueError("the dimension must be a multiple of m_pq")
-    if which == "auto":
-        which = "flat" if rows.limit(AUTO_FLAT + 1).count() <= AUTO_FLAT else "ivf"
     if which == "flat":
         return FlatIndex(rows, m)
     if which == "pq":
