@@ -3,13 +3,16 @@
 1. One pass makes each document's shingle set, its fingerprint, its MinHash signature and band keys.
    Documents with equal sets form a class at once; only one row a class goes on.
 2. Classes that share a band key are candidates. Each bucket first compares its members to one pivot,
-   so a bucket of n costs n - 1 pairs. Then only pairs of *different* components that share a bucket are
-   left; they are tried against a few partners a round while that merges components, and at last all that
-   remain are compared. No bucket, however large, is cut short, and no link is lost.
-3. A candidate pair is checked signature batch by signature batch: it is dropped as soon as the posterior
+   so a bucket of n costs n - 1 pairs, and links are contracted to components.
+3. Buckets that still hold several components meet as groups: the members outside the bucket's largest
+   component ("open") are compared to all members of other components. Large buckets are dealt in blocks;
+   open rows meet every block, rows of the largest component only the open blocks. A group keeps its own
+   components and gives links alone, at most one a member, so no pair that fails leaves it. No bucket,
+   however large, is cut short, and no link is lost.
+4. A candidate pair is checked signature batch by signature batch: it is dropped as soon as the posterior
    probability that its similarity reaches the threshold (uniform prior, binomial matches) is below
    `miss`. Survivors are compared on their full sets.
-4. Links are contracted to components by star contraction.
+5. Links are contracted to components by star contraction.
 
 Banding finds a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^32, all but 5e-8.
 
@@ -39,12 +42,10 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 #: Probability of dropping a pair that reaches the threshold, a look.
 MISS = 1e-9
-#: Buckets up to this size get all their open pairs at once: at most SMALL / 2 a row.
+#: Equal buckets up to this size count once.
 SMALL = 16
-#: Partners tried a round for each open member of a larger bucket.
-TRIES = 1
-#: Members of a block of a larger bucket.
-BLOCK = 4096
+#: Members, and shingles of all members, of a block of a large bucket.
+BLOCK, BLOCK_GRAMS = 4096, 2_000_000
 
 _rng = np.random.RandomState(20_240_501)
 _MULT = (_rng.randint(0, 2**32, BANDS * ROWS, np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, BANDS * ROWS, np.uint64)) | np.uint64(1)
@@ -109,21 +110,22 @@ def prepare(docs: DataFrame, shingle: int, id_col: str = "doc_id", text: str = "
 
 
 def band_keys(sigs: DataFrame) -> DataFrame:
-    """(node, key, band) of each of the BANDS bands of each signature."""
+    """(node, n, key, band) of each of the BANDS bands of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bands = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
+            bands = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b.num_rows, BANDS)).copy()
                 for r in range(ROWS):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
             band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(key.view(np.int64).ravel()), pa.array(band)], names=["node", "key", "band"])
+            node, n = (pa.array(np.repeat(b.column(c).to_numpy(), BANDS)) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([node, n, pa.array(key.view(np.int64).ravel()), pa.array(band)], names=["node", "n", "key", "band"])
 
-    return sigs.select("node", "sig").mapInArrow(run, "node long, key long, band int")
+    return sigs.select("node", "n", "sig").mapInArrow(run, "node long, n long, key long, band int")
 
 
 @cache
@@ -207,30 +209,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     free_shuffles(spark)
 
     pairs = cut(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    tried = pairs
     links = cut(verify(pairs, sigs, sets, threshold, miss), "links")
+    drop(pairs)
     label = components(links)
-    # Small buckets: all open pairs. Larger ones: a few partners in two turns, and what is still open at last.
-    for turn in (1, 2, 3):
-        state = buckets.join(label, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))
-        state = state if turn == 1 else state.where(F.col("size") > SMALL)
-        open_ = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        state = cut(state.join(open_, "key"), "open")
-        large = state.where(F.col("size") > SMALL)
-        pairs = block_pairs(large, sigs, threshold, miss) if turn == 3 else few_pairs(large, turn)
-        if turn == 1:
-            pairs = pairs.unionByName(open_pairs(state.where(F.col("size") <= SMALL)))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = cut(verify(pairs, sigs, sets, threshold, miss), "links")
-        left = bool(large.limit(1).count())
-        drop(state)
-        tried = tried.unionByName(pairs)
+    state = cut(open_buckets(buckets, label), "open")
+    drop(buckets)
+    if state.limit(1).count():
+        more = cut(open_links(state, sigs, sets, threshold, miss), "links")
         if more.limit(1).count():
             links = links.unionByName(more)
             label = components(links)
-        free_shuffles(spark)
-        if not left:
-            break
+    free_shuffles(spark)
     # Documents of equal sets hang on their class; a doc_id with several texts joins their classes.
     roots = components(links.unionByName(same_id)) if same_id.limit(1).count() else label
     drop(sets)
@@ -241,49 +230,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def open_pairs(state: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different components in a bucket; for buckets of a bounded size."""
-    x = state.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = state.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").where("ca <> cb and a < b").select("a", "b")
-
+def open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, band, node, component, open, parts, mains) of the buckets that hold several components.
 
-def block_pairs(state: DataFrame, sigs: DataFrame, threshold: tuple[int, int], miss: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of different components in a bucket that pass the sequential test, for buckets of any size.
-
-    A bucket is dealt into blocks of about `block` members, and each two blocks meet in one group, which
-    compares only members of different components. Only pairs that pass leave the group.
+    open: not of the bucket's largest component; parts, mains: blocks of the open rows and of the others. Of
+    small buckets with the same members only the one of the least band stays.
+    """
+    state = buckets.join(label, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
+    of = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("g"))
+    of = of.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max(F.struct("k", "component", "g")).alias("top"), F.sum("k").alias("k"), F.sum("g").alias("g")).where("k > top.k")
+    blocks = lambda k, g: F.ceil(F.greatest(k / BLOCK, g / BLOCK_GRAMS)).cast("int")
+    of = of.select("key", "main", F.col("k").alias("size"), blocks(F.col("k") - F.col("top.k"), F.col("g") - F.col("top.g")).alias("parts"), blocks(F.col("top.k"), F.col("top.g")).alias("mains"))
+    state = cut(state.join(of, "key").withColumn("open", F.col("component") != F.col("main")), "several")
+    lists = state.where(F.col("size") <= SMALL).groupBy("key", "band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    again = lists.groupBy("nodes").agg(F.min_by("key", "band").alias("key")).select("key")
+    out = state.where(F.col("size") > SMALL).unionByName(state.where(F.col("size") <= SMALL).join(again, "key", "left_semi"))
+    return out.select("key", "band", "node", "component", "open", "parts", "mains")
+
+
+def open_links(state: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: tuple[int, int], miss: float) -> DataFrame:
+    """Links (a, b) between different components of a bucket: enough to join all that are linked there.
+
+    A group has an open block on its left; on its right another open block or one of the largest component.
     """
     num, den = threshold
     least = least_matches(miss, num / den)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(group: list[tuple]) -> pa.RecordBatch:
-            node, comp, n, side = (np.array(c, np.int64) for c in list(zip(*group))[2:6])
-            sig = np.frombuffer(b"".join(g[7] for g in group), np.uint32).reshape(len(group), -1)
-            earlier = group[0][6] * ROWS
-            names, counts = np.unique(comp, return_counts=True)
-            rest = comp != names[counts.argmax()]
-            few = np.flatnonzero(rest)  # each open pair has one of these
-            out_a, out_b = [], []
-            for i in few.tolist():
-                other = (comp != comp[i]) & (~rest | (node > node[i])) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-                if group[0][8]:
-                    other &= side != side[i]
-                j = np.flatnonzero(other)
-                matches = np.zeros(len(j), np.int64)
-                for look, need in enumerate(least):
-                    part = slice(look * BATCH, (look + 1) * BATCH)
-                    matches += (sig[j, part] == sig[i, part]).sum(1)
-                    j, matches = j[matches >= need], matches[matches >= need]
-                # A pair that shares several buckets counts in the first.
-                same = (sig[j, :earlier] == sig[i, :earlier]).reshape(len(j), earlier // ROWS, ROWS).all(2).any(1)
-                j = j[~same]
-                out_a.append(np.minimum(node[i], node[j]))
-                out_b.append(np.maximum(node[i], node[j]))
-            z = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([z, *out_a])), pa.array(np.concatenate([z, *out_b]))], names=["a", "b"])
+    def answer(group: list[tuple]) -> pa.RecordBatch:
+        node, comp, n = (np.array(c, np.int64) for c in list(zip(*group))[2:5])
+        left = np.array([g[5] for g in group])
+        within, earlier = group[0][6], group[0][7] * ROWS
+        sig = np.frombuffer(b"".join(g[8] for g in group), np.uint32).reshape(len(group), -1)
+        flat = np.unique(np.concatenate([np.frombuffer(g[9], np.uint64) for g in group]), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        begin, mark = ends - n, np.zeros(int(flat.max()) + 1, bool)
+        found_a, found_b = [], []
+        for i in np.flatnonzero(left).tolist():
+            other = (comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+            other &= (~left | (node > node[i])) if within else ~left
+            j = np.flatnonzero(other)
+            matches = np.zeros(len(j), np.int64)
+            for look, need in enumerate(least):
+                if not len(j):
+                    break
+                part = slice(look * BATCH, (look + 1) * BATCH)
+                matches += (sig[j, part] == sig[i, part]).sum(1)
+                ok = matches >= need
+                j, matches = j[ok], matches[ok]
+            if not len(j):
+                continue
+            # A pair that shares several buckets counts in the first.
+            j = j[~(sig[j, :earlier] == sig[i, :earlier]).reshape(len(j), earlier // ROWS, ROWS).all(2).any(1)]
+            if not len(j):
+                continue
+            mine = flat[begin[i] : ends[i]]
+            mark[mine] = True
+            first = np.cumsum(n[j]) - n[j]
+            both = np.add.reduceat(mark[flat[np.repeat(begin[j] - first, n[j]) + np.arange(int(n[j].sum()))]], first, dtype=np.int64)
+            mark[mine] = False
+            j = j[den * both >= num * (n[j] + n[i] - both)]
+            for c, at in zip(*np.unique(comp[j], return_index=True)):
+                found_a.append(min(node[i], node[j[at]]))
+                found_b.append(max(node[i], node[j[at]]))
+                comp[comp == c] = comp[i]
+        return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -294,24 +306,14 @@ def block_pairs(state: DataFrame, sigs: DataFrame, threshold: tuple[int, int], m
         if held:
             yield answer(held)
 
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # Block i meets block j: group min * blocks + max.
-    rows = state.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("meet", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).join(sigs.select("node", "n", "sig"), "node")
-    dealt = rows.select("key", "meet", "node", "component", "n", F.col("mine").cast("long").alias("side"), "band", "sig", (F.col("mine") != F.col("other")).alias("across")).repartition("key", "meet").sortWithinPartitions("key", "meet")
+    # Open block x meets each open block y > x, and block d of the largest component as parts + d; the first of these
+    # groups also compares x with itself.
+    total = F.col("parts") + F.col("mains")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("parts")).otherwise(F.col("mains"))).cast("int")
+    partners = F.when(F.col("open"), F.filter(F.sequence(F.lit(0), total - 1), lambda y: y != F.col("mine"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = state.withColumn("mine", mine).withColumn("other", F.explode(partners)).withColumn("mine", F.when(F.col("open"), F.col("mine")).otherwise(F.col("parts") + F.col("mine")))
+    rows = rows.withColumn("meet", F.least("mine", "other").cast("long") * total + F.greatest("mine", "other"))
+    rows = rows.withColumn("left", F.col("mine") < F.col("other")).withColumn("within", F.greatest("mine", "other") == F.col("parts"))
+    rows = rows.join(sigs.select("node", "n", "sig"), "node").join(sets, "node")
+    dealt = rows.select("key", "meet", "node", "component", "n", "left", "within", "band", "sig", "grams").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
     return dealt.mapInArrow(run, "a long, b long")
-
-
-def few_pairs(state: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member and up to TRIES members of other components, the same in all of a bucket.
-
-    The partners have the smallest hashes of this turn: a component stands for itself by its share.
-    """
-    picks = []
-    for t in range(TRIES):
-        order = F.xxhash64("node", F.lit(turn), F.lit(t))
-        picks += [F.min_by("node", order).alias(f"p{t}"), F.min_by("component", order).alias(f"c{t}")]
-    y = state.groupBy("key").agg(*picks).select("key", F.explode(F.array(*[F.struct(F.col(f"p{t}").alias("p"), F.col(f"c{t}").alias("c")) for t in range(TRIES)])).alias("f"))
-    x = state.join(y, "key").where("component <> f.c")
-    return x.select(F.least("node", "f.p").alias("a"), F.greatest("node", "f.p").alias("b"))
