@@ -81,7 +81,7 @@ def brute_components(rows, n):
 @pytest.mark.parametrize("small,block", [(16, 4096), (2, 4)])
 def test_near_duplicates(docs, monkeypatch, small, block):
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash.block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(minhash, "BLOCK", block)
     got = minhash.near_duplicates(docs, shingle=4).collect()
     rows = fixture_rows()
     assert len(got) == len(rows)
@@ -93,21 +93,33 @@ def test_near_duplicates(docs, monkeypatch, small, block):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
-def test_blocks_alone_find_every_link(spark):
-    """The last, exhaustive turn by itself, with nothing linked before."""
+@pytest.mark.parametrize("small,block,linked", [(16, 4096, False), (0, 5, False), (2, 3, True), (16, 1, False)])
+def test_groups_alone_join_all_that_are_linked(spark, monkeypatch, small, block, linked):
+    """The comparison in groups by itself, with nothing or one pair of a class linked before."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = [(i, t) for i, t in fixture_rows() if i is not None and t and i != 7]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     sigs = minhash.prepare(d, 4).where("n > 0").select(F.col("doc_id").alias("node"), "n", "sig").cache()
-    sets = minhash.gram_sets(d.select(F.col("doc_id").alias("node"), "text"), 4).cache()
+    sets = minhash.gram_sets(d.select(F.col("doc_id").alias("node"), "text"), 4).select("node", "grams").cache()
     keys = minhash.band_keys(sigs)
-    size = keys.groupBy("key").agg(F.count("node").alias("size")).where("size > 1")
-    state = keys.join(size, "key").withColumn("component", F.col("node"))
-    pairs = minhash.block_pairs(state, sigs, (80, 100), 1e-9, 5).cache()
-    assert pairs.count() == pairs.distinct().count()
-    found = {(r.a, r.b) for r in minhash.verify(pairs, sigs, sets, (80, 100), 1e-9).collect()}
-    sh = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or {tuple(w)} for i, w in ((i, words(t, True)) for i, t in rows) if w}
-    want = {(a, b) for a, b in itertools.combinations(sorted(sh), 2) if 100 * len(sh[a] & sh[b]) >= 80 * len(sh[a] | sh[b])}
-    assert found == want
+    buckets = keys.join(keys.groupBy("key").agg(F.count("node").alias("size")).where("size > 1"), "key")
+    want = brute_components(rows, 4)
+    pair = next(((a, c) for a, (_, c) in want.items() if a != c), None) if linked else None
+    label = spark.createDataFrame([(x, pair[1]) for x in pair] if pair else [], "node long, component long")
+    links = minhash.open_links(minhash.open_buckets(buckets, label), sigs, sets, (80, 100), 1e-9).collect()
+    comp = {i: i for i in want}
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a, b in [(r.a, r.b) for r in links] + ([pair] if pair else []):
+        assert want[a][1] == want[b][1]
+        x, y = find(a), find(b)
+        comp[max(x, y)] = min(x, y)
+    assert {i: find(i) for i in want} == {i: c for i, (_, c) in want.items()}
 
 
 def test_sequential_test_is_safe():
@@ -190,16 +202,19 @@ def ids_of(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def encoded(enc, texts):
+    flat, counts = enc.encode([t.encode() for t in texts])
+    return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_encoder_is_exact(name, lead):
-    parts = ["Hello", " ", "  ", "\n", "\t", "world's", "don't", "é", " ", "123", "!!", "<|endoftext|>", "ﬁ", "İ", "é", " ", "\x1c", "Σ", "Größe,", "ª", "word.", "É", "µ", "STRASSE", "naïve"]
+    parts = ["Hello", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", "\u3000", "\0", "\x1c", "\x85", "中文", "<|startoftext|>", "world's", "don't", "é", " ", "123", "!!", "<|endoftext|>", "ﬁ", "İ", "é", " ", "\x1c", "Σ", "Größe,", "ª", "word.", "É", "µ", "STRASSE", "naïve"]
     texts = ["".join(RNG.choice(parts, RNG.randint(0, 14))) for _ in range(800)] + ["", " ", "a b"]
-    enc = encoder(public_path(name), lead)
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == ids_of(name, texts)
+    assert encoded(encoder(public_path(name), lead, added=True), texts) == ids_of(name, texts)
 
 
 def test_packing_covers_every_id_once(docs, empty):
@@ -481,7 +496,7 @@ def test_added_tokens_are_one_id(name, lead, end):
     plain = Tokenizer.from_file(public_path(name))
     parts = ["Hello", " ", "  ", "\n", "world's", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "endoftext|>", "Größe,", "word."]
     texts = ["".join(RNG.choice(parts, RNG.randint(0, 14))) for _ in range(800)] + ["", "a <|endoftext|> b"]
-    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(public_path(name), lead, added=True).encode(texts)]
+    got = encoded(encoder(public_path(name), lead, added=True), texts)
     assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)] and end in got[-1]
 
 

@@ -90,36 +90,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII white space by byte.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _factors = [mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)]
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each word of the bytes, which end in white space."""
+    inside = ~SPACES[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes (none empty, in order): a multilinear hash, all spans at once."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(size)
+    first = ends - size
+    longest = int(size.max())
+    if longest > len(_factors[0]):
+        _factors[0] = mix64(np.arange(1, 2 * longest + 1, dtype=np.uint64)) | np.uint64(1)
+    place = np.arange(int(ends[-1])) - np.repeat(first, size)
+    gap = start - first
+    held = data[place + np.repeat(start, size)] if gap[-1] - gap[0] or len(data) != ends[-1] else data
+    with np.errstate(over="ignore"):
+        value = (held.astype(np.uint64) + np.uint64(1)) * _factors[0][place]
+        return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(batch: list[bytes], lower: bool = False) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text: a multilinear hash of the bytes, all words of a batch at once."""
+    """64-bit hashes of the words of each text."""
     data = np.frombuffer(b"\n".join(batch) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in batch])
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
-    inside = ~space
-    before = np.concatenate([[True], space[:-1]])
-    start, stop = np.flatnonzero(inside & before), np.flatnonzero(space & ~before)
-    size = stop - start
-    if len(size):
-        first = np.cumsum(size) - size
-        longest = int(size.max())
-        if longest > len(_factors[0]):
-            _factors[0] = mix64(np.arange(1, 2 * longest + 1, dtype=np.uint64)) | np.uint64(1)
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        with np.errstate(over="ignore"):
-            value = (data[inside].astype(np.uint64) + np.uint64(1)) * _factors[0][place]
-            h = mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    else:
-        h = np.zeros(0, np.uint64)
-    return np.split(h, np.searchsorted(start, ends[:-1]))
+    start, size = word_spans(data)
+    return np.split(span_hashes(data, start, size), np.searchsorted(start, ends[:-1]))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
 from .tokens import encoder, public_path
 
 SEQUENCE = 2048
@@ -154,9 +155,9 @@ def pack(
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, raw, share in zip(part.column(0).to_pylist(), enc.encode(texts), part.column(2).to_pylist()):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END))
+                flat, counts = enc.encode(texts(part.column(1)))
+                for doc, ids, share in zip(part.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), part.column(2).to_pylist()):
+                    ids = np.append(ids, np.uint32(END))
                     loss = round(len(ids) * min(max(1.0 if share is None else share, 0.0), 1.0))
                     for full in packer.add(Piece(doc, 0, ids, loss, len(ids))):
                         emit(full)

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, new_path, partitions
+from .common import cut, mix64, new_path, partitions, texts
 from .tokens import encoder, public_path
 
 MAGIC = b"VSST0001"
@@ -193,7 +193,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for doc, raw, s in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), part.column(2).to_pylist()):
+                flat, counts = enc.encode(texts(part.column(1)))
+                for doc, ids, s in zip(part.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), part.column(2).to_pylist()):
                     if writer is None:
                         shard, where = s, fs.FileSystem.from_uri(path)
                         where[0].create_dir(where[1], recursive=True)
@@ -202,7 +203,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
                         writer = Writer(out, 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4)
                     serial = serial + 1 if last == (doc,) else 0
                     last = (doc,)
-                    writer.add(key_of(doc, serial), np.append(np.frombuffer(raw, "<u4"), np.uint32(end)))
+                    writer.add(key_of(doc, serial), np.append(ids, np.uint32(end)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [name], "docs": pa.array([writer.count], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
