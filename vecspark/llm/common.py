@@ -124,21 +124,28 @@ def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
         return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(batch: list[bytes], lower: bool = False) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text."""
+def flat_word_hashes(batch: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the texts, end to end, and the number of words of each text."""
     data = np.frombuffer(b"\n".join(batch) + b"\n", np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in batch])
+    ends = np.cumsum([len(t) + 1 for t in batch], dtype=np.int64)
     if lower:
         data = _LOWER[data]
     start, size = word_spans(data)
-    return np.split(span_hashes(data, start, size), np.searchsorted(start, ends[:-1]))
+    return span_hashes(data, start, size), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_hashes(batch: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text."""
+    h, counts = flat_word_hashes(batch, lower)
+    return np.split(h, np.cumsum(counts)[:-1])
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of each run of n consecutive words."""
+    """64-bit hash of each run of n consecutive words: a polynomial in their hashes."""
     m = len(words) - n + 1
+    h = words[:m].copy()
     with np.errstate(over="ignore"):
-        h = np.zeros(m, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mix64(words[i : i + m] + np.uint64(i + 1))
+        for i in range(1, n):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += words[i : i + m]
     return mix64(h)

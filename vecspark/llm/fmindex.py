@@ -1,7 +1,7 @@
 """An FM-index over short word sequences, for patterns of a fixed length.
 
-The sequences lie end to end, each with a terminator. Suffixes are sorted by prefix doubling to depth 16,
-which orders them as far as any pattern of up to 16 words needs. The Burrows-Wheeler transform is kept in
+The sequences lie end to end, each with a terminator. Suffixes are sorted by prefix doubling to the depth of
+the patterns, whatever it is; the last step overlaps. The Burrows-Wheeler transform is kept in
 a wavelet matrix (one bit vector a level of the alphabet, with a count every 64 bits); backward search
 advances many patterns at once.
 """
@@ -10,9 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 16
-
-
 class WaveletMatrix:
     def __init__(self, seq: np.ndarray, n_symbols: int):
         self.n, self.levels = len(seq), max(1, int(n_symbols - 1).bit_length())
@@ -50,7 +47,7 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """Over sequences of symbols (1..n) with a value each; patterns have `length` symbols (at most 16)."""
+    """Over sequences of symbols (1..n) with a value each; patterns have `length` symbols."""
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray, values: np.ndarray, length: int):
         ends = np.cumsum(sizes + 1)
@@ -60,19 +57,20 @@ class FMIndex:
         text[inside] = flat
         self.length, n = length, len(text)
         self.n_symbols = int(text.max()) + 1
+        # Ranks by the first 1, 2, 4, ... and at last `length` symbols.
         rank, order = _ranked(text)
-        by_depth = {1: rank}
-        h = 1
-        while h < DEPTH:
+        depth, ranks = 1, [(1, rank)]
+        while depth < length:
+            step = min(depth, length - depth)
             after = np.full(n, -1, np.int64)
-            after[:-h] = rank[h:]
+            after[:-step] = rank[step:]
             rank, order = _ranked(rank * (n + 1) + after + 1)
-            h *= 2
-            by_depth[h] = rank
+            depth += step
+            ranks.append((depth, rank))
         self.bwt = WaveletMatrix(text[order - 1], self.n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.n_symbols))])
         # Groups of suffixes that agree on their first `length` (and length - 1) symbols.
-        full, short = (self._group(by_depth, order, d, n) for d in (length, length - 1))
+        full, short = (self._group(ranks, order, d) for d in (length, length - 1))
         self.group = np.cumsum(full) - 1
         owner = np.repeat(values, sizes + 1)[order]
         self.least = np.minimum.reduceat(owner, np.flatnonzero(full))
@@ -81,25 +79,30 @@ class FMIndex:
         self.low, self.high = at[which], np.append(at[1:], n)[which]
 
     @staticmethod
-    def _group(by_depth: dict[int, np.ndarray], order: np.ndarray, depth: int, n: int) -> np.ndarray:
+    def _group(ranks: list[tuple[int, np.ndarray]], order: np.ndarray, depth: int) -> np.ndarray:
         """True where a suffix, in order, differs from the one before within `depth` symbols."""
-        new, at = np.zeros(n, bool), 0
+        n = len(order)
+        new = np.zeros(n, bool)
         new[0] = True
-        for h in (8, 4, 2, 1):
-            if depth & h:
-                key = np.append(by_depth[h], np.full(DEPTH, -1))[np.minimum(order + at, n + DEPTH - 1)]
+        if depth:
+            h, rank = next((h, r) for h, r in reversed(ranks) if h <= depth)
+            for at in {0, depth - h}:
+                key = np.append(rank, np.full(at, -1))[order + at]
                 new[1:] |= key[1:] != key[:-1]
-                at += h
         return new
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search: from the interval of P to that of symbol P."""
-        both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        """Backward search: from the interval of P to that of symbol P, which occurs (so a single place stays single)."""
+        wide = np.flatnonzero(high > low + 1)
+        both = self.bwt.rank(np.concatenate([symbol, symbol[wide]]), np.concatenate([low, high[wide]]))
         start = self.first[symbol]
-        return start + both[: len(low)], start + both[len(low) :]
+        low = start + both[: len(low)]
+        high = low + 1
+        high[wide] = start[wide] + both[len(low) :]
+        return low, high
 
     def least_values(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each window of the pattern length in each sequence, in order, the least value that holds it.
+        """For each window of the pattern length in each (indexed) sequence, in order, the least value that holds it.
 
         Matching statistics from right to left: once a window of full length matches, it gives up its last
         symbol (the interval of its group one shorter) and takes the symbol before it.
@@ -118,6 +121,5 @@ class FMIndex:
             lo, hi = self.step(flat[starts[live] + sizes[live] - 1 - t], lo, hi)
             low[live], high[live] = lo, hi
             if t >= k - 1:
-                # An absent window (empty interval) cannot occur among indexed sequences, but has no value.
-                out[place[live] + sizes[live] - 1 - t] = np.where(hi > lo, self.least[self.group[np.minimum(lo, self.bwt.n - 1)]], np.iinfo(np.int64).max)
+                out[place[live] + sizes[live] - 1 - t] = self.least[self.group[lo]]
         return out

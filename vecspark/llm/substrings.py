@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free_shuffles, gram_hashes, sliced, texts, word_hashes
+from .common import cut, drop, flat_word_hashes, free_shuffles, gram_hashes, sliced, texts
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -36,21 +36,25 @@ SHARD, HOT = 50_000, 5_000
 LAST = 2**63 - 1
 
 
-def stretches(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each stretch of a text (word hashes)."""
-    n = len(words) - window + 1
-    if n < 1:
-        e = np.zeros(0, np.int64)
-        return e, e, e
+def stretches(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor, first window and number of windows of each stretch of texts (word hashes end to end, words a text)."""
     gram = min(GRAM, window)
-    g = gram_hashes(words, gram)
-    least, span, want = g, 1, window - gram + 1
+    if len(words) < window:
+        e = np.zeros(0, np.int64)
+        return e, e, e, e
+    least, span, want = gram_hashes(words, gram), 1, window - gram + 1
     while span < want:
         by = min(span, want - span)
         least = np.minimum(least[:-by], least[by:])
         span += by
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[first].view(np.int64), first, np.diff(np.append(first, n))
+    ends = np.cumsum(counts)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(least)]
+    whole = np.flatnonzero(np.arange(len(least)) + window <= ends[text])  # windows that end in their text
+    least, text = least[whole], text[whole]
+    new = np.ones(len(whole), bool)
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    return text[at], least[at].view(np.int64), whole[at] - (ends - counts)[text[at]], np.diff(np.append(at, len(whole)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -58,16 +62,19 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(t).alias("mark"), t.alias("text"))
 
 
-def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
+def _occurrences(keyed: DataFrame, window: int, places: bool) -> DataFrame:
+    """(anchor, doc) and, with places, mark, first and n of each stretch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            got = [stretches(h, window) for h in word_hashes(texts(b.column(2)))]
-            n = [len(a) for a, _, _ in got]
-            flat = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3)]
-            at = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], names=["anchor", "doc", "mark", "first", "n"])
+            text, anchor, first, n = stretches(*flat_word_hashes(texts(b.column(2))), window)
+            own = pa.array(text)
+            cols = {"anchor": pa.array(anchor), "doc": b.column(0).take(own)}
+            if places:
+                cols |= {"mark": b.column(1).take(own), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(cols)
 
-    return keyed.mapInArrow(run, "anchor long, doc long, mark long, first int, n int")
+    return keyed.mapInArrow(run, "anchor long, doc long" + ", mark long, first int, n int" * places)
 
 
 def _contents(joined: DataFrame, window: int) -> DataFrame:
@@ -75,13 +82,21 @@ def _contents(joined: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            rows: list[tuple] = []
-            for doc, mark, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist()):
-                words = text.split()
-                rows += [(doc, mark, f["first"], f["anchor"], b" ".join(words[f["first"] : f["first"] + f["n"] + window - 1])) for f in found]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k).cast(pa.string()) if k == pa.binary() else pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc", "mark", "first", "route", "words"])
+            if not b.num_rows:
+                continue
+            parts = [t.split() for t in texts(b.column(2))]
+            # All words, one space between: a stretch is a slice.
+            flat = [w for p in parts for w in p]
+            joined, place = b" ".join(flat), np.cumsum([0, *map(len, flat)]) + np.arange(len(flat) + 1)
+            before = np.cumsum([0, *map(len, parts)])
+            own = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            found = b.column(3).flatten()
+            first, n = (found.field(c).to_numpy() for c in ("first", "n"))
+            at = before[own] + first
+            start, stop = place[at], place[at + n + window - 1] - 1
+            words = pa.array([joined[x:y] for x, y in zip(start.tolist(), stop.tolist())], pa.binary()).cast(pa.string())
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), found.field("first"), found.field("anchor"), words], names=["doc", "mark", "first", "route", "words"])
 
     return joined.mapInArrow(run, "doc long, mark long, first int, route long, words string")
 
@@ -89,32 +104,41 @@ def _contents(joined: DataFrame, window: int) -> DataFrame:
 def _search(unique: DataFrame, window: int, shard: int) -> DataFrame:
     """(route, h, least array): of each distinct stretch, the least document of each of its windows."""
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
+    def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        route, h, low, high = (rows.column(c).to_numpy() for c in ("route", "h", "low", "high"))
         # Words become dense numbers by their hashes.
-        hashes = word_hashes([w.encode() for _, _, w, _, _ in rows])
-        sizes = np.array([len(h) for h in hashes])
-        flat = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int64) + 1
+        hashes, sizes = flat_word_hashes([t for c in rows.column("words").chunks for t in texts(c)])
+        flat = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
         starts = np.cumsum(sizes) - sizes
-        low, high = (np.array([r[i] for r in rows], np.int64) for i in (3, 4))
         least = FMIndex(flat, sizes, low, window).least_values(flat, starts, sizes)
         counts = sizes - window + 1
-        owner = np.repeat(np.arange(len(rows)), counts)
+        owner = np.repeat(np.arange(len(route)), counts)
         # A stretch of one document whose windows nobody before it holds has nothing to report.
-        tells = (high > low) | (np.bincount(owner, least < low[owner], len(rows)) > 0)
-        place = np.concatenate([[0], np.cumsum(counts)])
-        keep = np.flatnonzero(tells)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), pa.array([least[place[i] : place[i + 1]] for i in keep], pa.list_(pa.int64()))], names=["route", "h", "least"]
-        )
+        tells = (high > low) | (np.bincount(owner, least < low[owner], len(route)) > 0)
+        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[tells])]).astype(np.int32)), pa.array(least[tells[owner]]))
+        return pa.RecordBatch.from_arrays([pa.array(route[tells]), pa.array(h[tells]), values], names=["route", "h", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if len(held) >= shard and row[0] != held[-1][0]:
-                    yield answer(held)
-                    held = []
-                held.append(row)
+            while b.num_rows:
+                route = b.column(0).to_numpy()
+                if size >= shard:
+                    # A full shard ends where its last route does.
+                    other = np.flatnonzero(route != last)
+                    cut_at = int(other[0]) if len(other) else len(route)
+                    held.append(b.slice(0, cut_at))
+                    b = b.slice(cut_at)
+                    if b.num_rows:
+                        yield answer(held)
+                        held, size = [], 0
+                    continue
+                take = min(b.num_rows, shard - size)
+                held.append(b.slice(0, take))
+                size, last = size + take, route[take - 1]
+                b = b.slice(take)
         if held:
             yield answer(held)
 
@@ -135,10 +159,10 @@ def flagged_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc, mark, windows): starts of the windows of each text that a smaller document holds."""
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text)
-    occ = _occurrences(keyed, window)
-    shared = cut(occ.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "anchors")
+    shared = cut(_occurrences(keyed, window, False).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "anchors")
     free_shuffles(spark)
-    found = cut(occ.join(shared, "anchor").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("found")), "found")
+    # Anchors are distinct and dealt by hash: a part's share of them is small.
+    found = cut(_occurrences(keyed, window, True).join(shared.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("found")), "found")
     free_shuffles(spark)
     parts = cut(_contents(keyed.join(found, ["doc", "mark"]).select("doc", "mark", "text", "found"), window).withColumn("h", F.xxhash64("words")), "stretches")
     drop(found)
