@@ -1,7 +1,8 @@
 """Distinct sampled segmentations of whole texts: Gumbel top-k without replacement over the piece lattice.
 
-A text's lattice falls into units at its spaces (no piece crosses one), and a batch's distinct units are compiled together,
-with the exact log-mass of every suffix, so each edge has its conditional probability. Sampling is a perturbed
+A text's lattice falls into units at its spaces (no piece crosses one). A worker compiles each distinct unit (told apart by
+the 64-bit hash of its bytes) once into a bounded store, with the exact log-mass of every suffix, so each edge has its
+conditional probability. Sampling is a perturbed
 best-first (A*) search whose bound at a node is the node's perturbed log-probability, the exact maximum over its
 completions: the first segmentation follows the best child everywhere; the next starts at the best child that was
 passed by, and so on. All texts of a batch take their steps together.
@@ -18,7 +19,6 @@ ignored. The vocabulary's own normalisation applies: U+2581 decodes to a space.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sliced
-from .tokens import public_path
+from .common import mix64, sliced, span_hashes, texts
+from .tokens import Known, public_path
 
 SPACE = "▁"
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_SPACE = SPACE.encode()
 SAMPLES, ALPHA = 2, 1.0
+#: Characters compiled at a time (a longer unit is compiled alone), and nodes held at most between two batches.
+PART, NODES = 24_000, 3_000_000
 
 
 class Lattices:
@@ -67,6 +69,7 @@ class Lattices:
             left = np.ones(len(h), bool)
             left[first] = False
             h, ids, bits = mix64(h[left]), ids[left], max(bits - 5, 10)
+        self.clear()
 
     @staticmethod
     def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -88,14 +91,75 @@ class Lattices:
             h = mix64(h)
         return out
 
-    def compile(self, units: list[str], part: int = 3000) -> tuple[np.ndarray, ...]:
-        """Nodes are the characters of the units, end to end: length of each unit, children a node, and by child the
-        step, the piece (or minus the code point) and the conditional log-probability."""
-        # In parts whose tables fit in the processor's cache.
-        done = [self._compile(units[i : i + part]) for i in range(0, len(units), part)] or [self._compile([])]
-        return tuple(np.concatenate(x) for x in zip(*done))
+    def clear(self) -> None:
+        """Forgets all units. Node 0 is every unit's end."""
+        self.known = (Known(), Known())
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.to, self.piece, self.p = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), np.zeros(1 << 17)
+        self.nodes, self.edges = 1, 0
+
+    def add(self, units: list[str]) -> np.ndarray:
+        """First node of each new unit."""
+        out, at = [], 0
+        while at < len(units):
+            # In parts whose tables fit in the processor's cache.
+            end, chars = at, 0
+            while end < len(units) and (end == at or chars + len(units[end]) <= PART):
+                chars += len(units[end])
+                end += 1
+            size, counts, step, piece, lp = self._compile(units[at:end])
+            n, m = len(counts), len(step)
+            for name, used, more in (("start", self.nodes, n), ("count", self.nodes, n), ("to", self.edges, m), ("piece", self.edges, m), ("p", self.edges, m)):
+                old = getattr(self, name)
+                if used + more > len(old):
+                    new = np.zeros(max(used + more, len(old) * 3 // 2), old.dtype)
+                    new[:used] = old[:used]
+                    setattr(self, name, new)
+            first = self.nodes + np.cumsum(size) - size
+            node = np.repeat(np.arange(self.nodes, self.nodes + n), counts)
+            to = node + step
+            self.to[self.edges : self.edges + m] = np.where(to == np.repeat(np.repeat(first + size, size), counts), 0, to)
+            self.piece[self.edges : self.edges + m], self.p[self.edges : self.edges + m] = piece, np.exp(lp)
+            self.start[self.nodes : self.nodes + n], self.count[self.nodes : self.nodes + n] = self.edges + np.cumsum(counts) - counts, counts
+            self.nodes, self.edges = self.nodes + n, self.edges + m
+            out.append(first)
+            at = end
+        return np.concatenate(out)
+
+    def units(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First node of each unit of the texts, end to end, and the number of each text's units."""
+        if self.nodes > NODES:
+            self.clear()
+        # A unit is a run of spaces and the characters up to the next.
+        parts = [b" " + t.replace(_SPACE, b" ") if t else t for t in batch]
+        text = b"".join(parts)
+        data, ends = np.frombuffer(text, np.uint8), np.cumsum([len(t) for t in parts], dtype=np.int64)
+        begins = ends - [len(t) for t in parts]
+        here = data == 32
+        here[1:] &= data[:-1] != 32
+        here[begins[ends > begins]] = True
+        start = np.flatnonzero(here)
+        size = np.diff(np.append(start, len(data)))
+        names, first, which = np.unique(span_hashes(data, start, size), return_index=True, return_inverse=True)
+        node = np.zeros(len(names), np.int64)
+        for known in self.known:
+            i = known.find(names)
+            node[i >= 0] = known.at[i[i >= 0]]
+        fresh = np.flatnonzero(node == 0)
+        if len(fresh):
+            a = start[first[fresh]]
+            node[fresh] = self.add([text[x:y].decode().replace(" ", SPACE) for x, y in zip(a.tolist(), (a + size[first[fresh]]).tolist())])
+            old, new = self.known
+            new.add(names[fresh], node[fresh], node[fresh])
+            if len(new.keys) > 1 << 16:
+                old.add(new.keys, new.at, new.n)
+                self.known = (old, Known())
+        upto = np.searchsorted(start, ends)
+        return node[which], np.diff(upto, prepend=0)
 
     def _compile(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Nodes are the characters of the units, end to end: length of each unit, children a node, and by child the
+        step, the piece (or minus the code point) and the conditional log-probability."""
         size = np.array([len(u) for u in units], np.int64)
         chars = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.uint64)
         n = len(chars)
@@ -152,103 +216,84 @@ def lattices(path: str, alpha: float) -> Lattices:
     return _lattices[path, alpha]
 
 
-def units_of(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 class _Batch:
-    """The lattices of a batch of texts end to end. Node 0 is every unit's end."""
-
-    def __init__(self, lat: Lattices, texts: list[str]):
-        units = [units_of(t) for t in texts]
-        names = {u: i for i, u in enumerate(dict.fromkeys(u for us in units for u in us))}
-        size, counts, step, self.piece, self.lp = lat.compile(list(names))
-        first = np.cumsum(size) - size + 1
-        self.count = np.concatenate([[0], counts])
-        self.start = np.concatenate([[0], np.cumsum(counts) - counts])
-        to = np.repeat(np.arange(1, len(self.count)), counts) + step
-        self.to = np.where(to == np.repeat(np.repeat(first + size, size), counts), 0, to)
-        self.doc_size = np.array([len(us) for us in units], np.int64)
-        self.first = first[[names[u] for us in units for u in us]] if names else np.zeros(0, np.int64)
+    """First nodes of the units of a batch of texts, end to end."""
+
+    def __init__(self, lat: Lattices, batch: list[bytes]):
+        self.first, self.doc_size = lat.units(batch)
         self.doc_start = np.cumsum(self.doc_size) - self.doc_size
 
 
-def _gumbel(h: np.ndarray) -> np.ndarray:
-    u = ((mix64(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    return -np.log(-np.log(u))
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((mix64(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _descend(b: _Batch, node: np.ndarray, doc: np.ndarray, key: np.ndarray, phi0: np.ndarray, top: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
+def _descend(lat: Lattices, node: np.ndarray, doc: np.ndarray, key: np.ndarray, phi0: np.ndarray, top: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
     """Follows the best child from each lane's node. Lanes are in text order; phi0 and top are by text.
 
+    The largest Gumbel-perturbed log-probability belongs to the least exponential variate over its probability.
     Gives, in path order: text, edge and prefix log-probability of each step; and the `keep` best passed-by
     children a step: step, edge, perturbed value.
     """
     n = len(node)
-    node, total, steps = node.copy(), np.zeros(n), []
-    live, t = np.flatnonzero(node), 0
+    node, total, length, steps = node.copy(), np.zeros(n), np.zeros(n, np.int64), []
+    live, t = np.arange(n), 0
     while len(live):
         at = node[live]
-        first, count = b.start[at], b.count[at]
+        first, count = lat.start[at], lat.count[at]
         # All children of all live nodes, end to end.
         ends = np.cumsum(count)
         begin = ends - count
         lane = np.repeat(np.arange(len(live)), count)
-        child = np.arange(ends[-1]) - begin[lane]
-        idx = first[lane] + child
+        idx = np.arange(ends[-1])
         with np.errstate(over="ignore"):
-            h = key[live][lane] + (np.uint64(t) * np.uint64(64) + child.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        g = b.lp[idx] + _gumbel(h)
-        z = np.maximum.reduceat(g, begin)
-        hit = np.flatnonzero(g == z[lane])
+            seed = key[live] + (np.uint64(t) * np.uint64(64) + np.uint64(1) - begin.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = seed[lane] + idx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        idx += (first - begin)[lane]
+        e = -np.log(_uniform(h)) / lat.p[idx]
+        least = np.minimum.reduceat(e, begin)
+        hit = np.flatnonzero(e == least[lane])
         edge = np.empty(len(live), np.int64)
         edge[lane[hit][::-1]] = idx[hit][::-1]
-        g[hit] = -np.inf
+        e[hit] = np.inf
         others = []
-        for _ in range(keep):
-            best = np.maximum.reduceat(g, begin)
-            hit = np.flatnonzero((g == best[lane]) & np.isfinite(g))
-            if not len(hit):
+        for r in range(keep):
+            rest = np.flatnonzero(count > r + 1)
+            if not len(rest):
                 break
+            best = np.minimum.reduceat(e, begin)
+            hit = np.flatnonzero((e == best[lane]) & np.isfinite(e))
             which = np.zeros(len(live), np.int64)
             which[lane[hit][::-1]] = idx[hit][::-1]
-            others.append((which, best))
-            g[hit] = -np.inf
-        steps.append((live, np.full(len(live), t), edge, total[live], z, others))
-        total[live] += b.lp[edge]
-        node[live] = b.to[edge]
+            others.append((rest, which[rest], -np.log(best[rest])))
+            e[hit] = np.inf
+        steps.append((live, edge, total[live], -np.log(least), others))
+        total[live] += np.log(lat.p[edge])
+        length[live] += 1
+        node[live] = lat.to[edge]
         live, t = live[node[live] > 0], t + 1
-    if not steps:
-        e = np.zeros(0, np.int64)
-        return e, e, np.zeros(0), e, e, np.zeros(0)
     # Prefix log-probability: what came before the lane in its text, and within the lane.
     run = np.cumsum(total) - total
-    lane_first = np.searchsorted(doc, doc)
-    before = run - run[lane_first] + phi0[doc]
-    lane = np.concatenate([s[0] for s in steps])
-    order = np.lexsort((np.concatenate([s[1] for s in steps]), lane))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    edge = np.concatenate([s[2] for s in steps])[order]
-    phi = (before[lane] + np.concatenate([s[3] for s in steps]))[order]
-    where, which, value, at = [], [], [], 0
-    for lanes, _, _, inner, z, others in steps:
-        here = place[at : at + len(lanes)]
-        at += len(lanes)
-        base, roof = before[lanes] + inner, top[doc[lanes]]
-        for e, g in others:
-            ok = np.isfinite(g)
-            gap = roof[ok] - base[ok] - g[ok] + np.log1p(-np.exp(np.minimum(g[ok] - z[ok], -1e-300)))
-            where.append(here[ok])
-            which.append(e[ok])
-            value.append(roof[ok] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap))))
+    before = run - run[np.searchsorted(doc, doc)] + phi0[doc]
+    offset = np.cumsum(length) - length
+    edge, phi = np.empty(int(length.sum()), np.int64), np.empty(int(length.sum()))
+    where, which, value = [], [], []
+    for t, (lanes, chosen, inner, z, others) in enumerate(steps):
+        here, base = offset[lanes] + t, before[lanes] + inner
+        edge[here], phi[here] = chosen, base
+        roof = top[doc[lanes]] - base
+        for rest, e, g in others:
+            gap = roof[rest] - g + np.log1p(-np.exp(np.minimum(g - z[rest], -1e-300)))
+            where.append(here[rest])
+            which.append(e)
+            value.append(top[doc[lanes[rest]]] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap))))
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return doc[lane][order], edge, phi, cat(where, np.int64), cat(which, np.int64), cat(value, float)
+    return np.repeat(doc, length), edge, phi, cat(where, np.int64), cat(which, np.int64), cat(value, float)
 
 
-def sample(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(lat: Lattices, batch: list[bytes], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log-probability, perturbed value, inclusion score), best first."""
-    b, n = _Batch(lat, texts), len(texts)
+    b, n = _Batch(lat, batch), len(batch)
     seeds = mix64(keys.astype(np.uint64) + np.uint64(0xA5A5A5A5))
     found: list[list[list]] = [[] for _ in range(n)]
     #: Passed-by children a text: (value, path, place on the path, edge, prefix log-probability).
@@ -259,29 +304,33 @@ def sample(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[li
         with np.errstate(over="ignore"):
             return mix64(seeds[doc] + np.uint64(turn) * np.uint64(0xD6E8FEB86659FD93) + (lane - b.doc_start[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
-    top = _gumbel(seeds)
+    top = -np.log(-np.log(_uniform(seeds)))
     lanes = np.arange(len(lane_doc))
     node, phi0, heads = b.first, np.zeros(n), {}
     docs = lane_doc
     live = np.arange(n)
     for turn in range(k):
-        out = _descend(b, node, docs, lane_keys(docs, lanes, turn), phi0, top, k)
-        doc, edge, phi, where, which, value = out
-        starts, ends = np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(n), side="right")
-        by = np.lexsort((-value, doc[where])) if len(where) else where
-        where, which, value = where[by], which[by], value[by]
-        owner = doc[where] if len(where) else where
-        low = np.searchsorted(owner, np.arange(n))
-        high = np.minimum(np.searchsorted(owner, np.arange(n), side="right"), low + k)
+        begun = node > 0
+        doc, edge, phi, where, which, value = _descend(lat, node[begun], docs[begun], lane_keys(docs, lanes, turn)[begun], phi0, top, k)
+        bounds = np.searchsorted(doc, np.arange(n + 1)).tolist()
         for d in live.tolist():
-            own = edge[starts[d] : ends[d]]
-            head = heads.get(d, own[:0])
-            path = np.concatenate([head, own])
-            prob = float(phi[ends[d] - 1] + b.lp[own[-1]]) if len(own) else float(phi0[d])
+            own, head = edge[bounds[d] : bounds[d + 1]], heads.get(d)
+            path = own if head is None else np.concatenate([head, own])
+            prob = float(phi[bounds[d + 1] - 1] + np.log(lat.p[own[-1]])) if len(own) else float(phi0[d])
             found[d].append([path, prob, float(top[d])])
-            for j in range(low[d], high[d]):
-                at = int(where[j] - starts[d])
-                pool[d].append((float(value[j]), len(found[d]) - 1, len(head) + at, int(which[j]), float(phi[where[j]])))
+        owner = doc[where]
+        for _ in range(k):
+            # The best passed-by child of each text that is not in its pool yet.
+            best = np.full(n, -np.inf)
+            np.maximum.at(best, owner, value)
+            hit = np.flatnonzero((value == best[owner]) & np.isfinite(value))
+            if not len(hit):
+                break
+            hit = hit[np.unique(owner[hit], return_index=True)[1]]
+            for d, v, at, e, f in zip(owner[hit].tolist(), value[hit].tolist(), where[hit].tolist(), which[hit].tolist(), phi[where[hit]].tolist()):
+                pool[d].append((v, len(found[d]) - 1, at - bounds[d] + (len(heads[d]) if d in heads else 0), e, f))
+            value[hit] = -np.inf
+        for d in live.tolist():
             pool[d].sort(reverse=True)
             del pool[d][k:]
         if turn == k - 1:
@@ -293,16 +342,15 @@ def sample(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[li
                 continue
             value_d, path_no, at, e, prefix = pool[d].pop(0)
             parent = found[d][path_no][0]
-            lane = int((b.to[parent[:at]] == 0).sum())  # units that ended before
+            lane = int((lat.to[parent[:at]] == 0).sum())  # units that ended before
             heads[d] = np.append(parent[:at], e)
-            phi0[d], top[d] = prefix + b.lp[e], value_d
-            first = b.doc_start[d] + lane
-            rest = np.arange(first, b.doc_start[d] + b.doc_size[d])
-            nodes = b.first[rest].copy()
-            nodes[0] = b.to[e]
+            phi0[d], top[d] = prefix + np.log(lat.p[e]), value_d
+            first, stop = b.doc_start[d] + lane, b.doc_start[d] + b.doc_size[d]
+            nodes = b.first[first:stop].copy()
+            nodes[0] = lat.to[e]
             node_parts.append(nodes)
-            lane_parts.append(rest)
-            doc_parts.append(np.full(len(rest), d))
+            lane_parts.append(np.arange(first, stop))
+            doc_parts.append(np.full(stop - first, d))
             nxt.append(d)
         if not nxt:
             break
@@ -310,7 +358,7 @@ def sample(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[li
     result = []
     for d in range(n):
         edge_value = max((p[0] for p in pool[d]), default=-np.inf)
-        result.append([(lat.ids(b.piece[path]), prob, value, float(-np.expm1(-np.exp(min(prob - edge_value, 700.0))))) for path, prob, value in found[d]])
+        result.append([(lat.ids(lat.piece[path]), prob, value, float(-np.expm1(-np.exp(min(prob - edge_value, 700.0))))) for path, prob, value in found[d]])
     return result
 
 
@@ -321,7 +369,7 @@ def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(path, alpha)
         for b in sliced(batches):
-            got = sample(lat, [t or "" for t in b.column(2).to_pylist()], b.column(1).to_numpy().view(np.uint64), k)
+            got = sample(lat, texts(b.column(2)), b.column(1).to_numpy().view(np.uint64), k)
             rows = [(d, r + 1, len(ids), prob, value, inc, ids.tobytes()) for d, s in zip(b.column(0).to_pylist(), got) for r, (ids, prob, value, inc) in enumerate(s)]
             cols = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
