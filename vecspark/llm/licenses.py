@@ -1,24 +1,29 @@
 """Licence scan of paragraphs by a trained n-gram classifier, in DataFrame operations.
 
-A multinomial logistic regression over binary word 1- and 2-grams tells licence families from an `unknown`
-class. It is fitted on the driver on a bounded, generated sample: AUGMENT cut, thinned and framed versions of
-each template below, and NEGATIVES word mixtures. Its temperature and the probability that a family needs are
-calibrated on held-out versions. A prediction counts only if the paragraph also resembles one of the family's
-templates and holds one of the ANCHORS that every template has; so paragraphs without an anchor are never
-scored. Model and templates are a fixed-size constant in the plan: no join, no shuffle.
-
-Defined cases: null or empty texts have no paragraph and no licence; rows are judged one by one; equal
-probabilities take the earlier paragraph; extra columns are ignored.
+A paragraph is a line with a letter or digit, or a block of several such lines between blank lines; every one is scored. A
+multinomial logistic regression over binary word 1- and 2-grams tells licence families from an `unknown` class. It is
+fitted on the driver on a bounded, generated sample: VERSIONS cut, thinned and framed versions of each family's wording
+below, and NEGATIVES word mixtures and near misses. Its temperature and the probability that a family needs are calibrated
+on held-out versions. A prediction counts only if the paragraph also shares RESEMBLES of its 2-grams, or of the template's
+where that has fewer, with one of the family's templates.
+
+The model is sparse: a gram is the 64-bit hash of its words, looked up by its low bits in a table of fixed size that holds
+the whole hash, so a gram out of the vocabulary adds nothing. Tables and templates are fixed-size constants in the plan: no
+join, no shuffle.
+
+Defined cases: null or empty texts have no paragraph and no licence; rows are judged one by one, repeated ones each; equal
+probabilities take the earlier paragraph, lines before blocks; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -56,19 +61,63 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc_by_sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc_by_nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "public_domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work, released under CC0 into the public domain."),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+    ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    "all_rights_reserved": ("All rights reserved.", "Copyright (c) the authors. All rights reserved.", "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher"),
+}
+#: Names of licences by family, put into each of FRAMES.
+NAMES: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT License", "MIT license", "Expat License"),
+    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"),
+    "gpl": ("GNU General Public License, version 3", "GNU General Public License", "GNU GPL v3", "GPL-3.0", "GPL v2"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU LGPL v3", "LGPL-2.1"),
+    "agpl": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"),
+    "bsd": ("BSD License", "3-Clause BSD License", "BSD-2-Clause License", "BSD-3-Clause", "New BSD License"),
+    "mpl": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"),
+    "isc": ("ISC License", "ISC license terms"),
+    "zlib": ("zlib License", "zlib/libpng License"),
+    "cc_by": ("CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International"),
+    "cc_by_sa": ("CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc_by_nc": ("CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "public_domain": ("CC0 1.0", "CC0 1.0 Universal Public Domain Dedication", "the public domain"),
 }
-#: Each template and each confirmed paragraph holds one of these.
-ANCHORS = r"licen[sc]e|permission is hereby|redistribution|public domain|spdx"
-#: The sample's bounds.
-AUGMENT, NEGATIVES, SEED = 60, 1500, 11
+FRAMES = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "License: {}", "{}")
+#: Near misses: other names for the frames, and sentences that grant nothing.
+OTHERS = ("Eclipse Public License 2.0", "Acme Commercial License", "Oracle Technology Network License", "Artistic License 2.0", "Microsoft Public License", "European Union Public Licence", "terms of your contract", "new rules 3.0", "old agreement", "Sun Industry Standards Source License")
+SENTENCES = (
+    "The license of the house is old and nobody knows who wrote it.",
+    "He lost his driving licence for a year after the accident.",
+    "Public access to the general store is free for any later version of the plan.",
+    "The software is used by the foundation to publish its work under conditions.",
+    "Students of MIT and Berkeley met in the public library.",
+    "The Apache helicopter landed near Mozilla street.",
+    "A copy of the terms may be obtained at the office without charge.",
+    "She reserved all seats; the rights of the others were not discussed.",
+    "Poetic licence allows any use of words for any purpose.",
+    "The institute MIT is in Cambridge, near the river.",
+    "Creative people share their work with the commons of the village.",
+)
+#: The sample's bounds: versions a family, negatives.
+VERSIONS, NEGATIVES, SEED = 200, 2800, 11
 #: Share of known negatives that may pass, and the least share of 2-grams in common with a template.
-FALSE_RATE, RESEMBLES = 0.002, 0.5
+FALSE_RATE, RESEMBLES = 0.002, 0.6
+#: Slots of the table of grams.
+SLOTS = 1 << 16
 _NOISE = "a about after all also an and any are as at be been but by can for from had has have he her his if in into is it its more new no not of on one or our out page read see she so some such text than that the their them there these they this time to under up use was we were what when which who will with work would you your version terms software file copy law".split()
 
 
 def words_of(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
@@ -76,6 +125,30 @@ def grams_of(words: list[str]) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
 
 
+def paragraphs_of(text: str) -> list[str]:
+    """Lines with a letter or digit, then blocks of several of them."""
+    lines = [p for p in text.lower().split("\n") if re.search("[a-z0-9]", p)]
+    return lines + [b for b in re.split(r"\n[ \t\r]*\n", text.lower()) if re.search(r"[a-z0-9][^\n]*\n(?:.*\n)*?.*[a-z0-9]", b)]
+
+
+def gram_hash(gram: str) -> int:
+    """Spark's xxhash64 of a word, or of the hashes of two, as a signed number."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    each = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in gram.split(" ")]
+    if len(each) == 1:
+        return each[0]
+    h = 42
+    for e in each:
+        h = xxhash.xxh64_intdigest(e.to_bytes(8, "little", signed=True), h)
+    return signed(h)
+
+
+def templates_of(family: str) -> list[str]:
+    return [*TEMPLATES[family], *(f.format(n) for n in NAMES.get(family, ()) for f in FRAMES)]
+
+
 @dataclass
 class Classifier:
     classes: list[str]
@@ -83,6 +156,7 @@ class Classifier:
     weights: dict[str, list[float]]
     temperature: float
     least: float
+    confusion: np.ndarray
 
     def probabilities(self, text: str) -> np.ndarray:
         s = np.array(self.bias)
@@ -92,38 +166,68 @@ class Classifier:
         e = np.exp((s - s.max()) / self.temperature)
         return e / e.sum()
 
+    def judge(self, text: str, resembles: float = RESEMBLES) -> list[tuple[int, str, float, float, bool]]:
+        """The candidates of a text, as scan() has them."""
+        out = []
+        for i, p in enumerate(paragraphs_of(text)):
+            q = self.probabilities(p)
+            family = self.classes[int(q.argmax())]
+            if family != UNKNOWN and q.max() >= self.least:
+                pairs = {g for g in grams_of(words_of(p)) if " " in g}
+                like = max(len(pairs & t) / max(min(len(t), len(pairs)), 1) for t in ({g for g in grams_of(words_of(x)) if " " in g} for x in templates_of(family)))
+                out.append((i, family, float(q.max()), like, like >= resembles))
+        return out
+
 
 def _sample() -> list[tuple[list[str], int]]:
     rng = np.random.RandomState(SEED)
     out: list[tuple[list[str], int]] = []
-    every = [words_of(t) for ts in TEMPLATES.values() for t in ts]
     noise = lambda n: [_NOISE[i] for i in rng.randint(0, len(_NOISE), n)]
-    for c, ts in enumerate(TEMPLATES.values()):
-        for t in ts:
-            w = words_of(t)
-            for _ in range(AUGMENT):
+    thin = lambda w, rate: [x for x in w if rng.uniform() > rate]
+    framed = lambda n: (words_of(f) for f in FRAMES[rng.randint(len(FRAMES))].split("{}")) if n else ([], [])
+    every = [words_of(t) for ts in TEMPLATES.values() for t in ts]
+    for c, (family, ts) in enumerate(TEMPLATES.items()):
+        names = NAMES.get(family, ())
+        for v in range(VERSIONS):
+            if names and v % 2:
+                before, after = framed(True)  # the name stays whole
+                part = thin(before, 0.15) + words_of(names[rng.randint(len(names))]) + thin(after, 0.15)
+            else:
+                w = words_of(ts[rng.randint(len(ts))])
                 size = max(min(len(w), 3), int(len(w) * rng.uniform(0.6, 1)))
                 at = rng.randint(0, len(w) - size + 1)
-                part = [x for x in w[at : at + size] if rng.uniform() > 0.05]
-                out.append((noise(rng.randint(0, 6)) + part + noise(rng.randint(0, 6)), c))
-    for _ in range(NEGATIVES):
-        w = noise(rng.randint(3, 40))
-        for _ in range(rng.randint(0, 4)):  # a few words of licences prove nothing
-            src = every[rng.randint(len(every))]
-            w.insert(rng.randint(len(w)), src[rng.randint(len(src))])
+                part = thin(w[at : at + size], 0.05) if len(w) > 12 else w
+            out.append((noise(rng.randint(0, 6)) + part + noise(rng.randint(0, 6)), c))
+    for v in range(NEGATIVES):
+        if v % 4 < 2:
+            before, after = framed(True)
+            name = words_of(OTHERS[rng.randint(len(OTHERS))]) if v % 8 else noise(2)
+            w = noise(rng.randint(0, 6)) + thin(before, 0.15) + name + thin(after, 0.15) + noise(rng.randint(0, 6))
+        elif v % 4 == 2:
+            w = noise(rng.randint(0, 8)) + thin(words_of(SENTENCES[rng.randint(len(SENTENCES))]), 0.1) + noise(rng.randint(0, 8))
+        else:
+            w = noise(rng.randint(1, 60))
+            for _ in range(rng.randint(0, 5)):  # a few words of licences prove nothing
+                src = every[rng.randint(len(every))]
+                w.insert(rng.randint(len(w)), src[rng.randint(len(src))])
         out.append((w, len(TEMPLATES)))
     return [out[i] for i in rng.permutation(len(out))]
 
 
 @cache
-def train(steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
+def train(steps: int = 150, rate: float = 0.8, decay: float = 1e-4) -> Classifier:
     rows = _sample()
     cut = len(rows) * 4 // 5
     counts: dict[str, int] = {}
     for w, _ in rows[:cut]:
         for g in grams_of(w):
             counts[g] = counts.get(g, 0) + 1
-    vocab = {g: i for i, g in enumerate(g for g, n in counts.items() if n >= 5)}
+    # One gram a slot, the more frequent.
+    slots: dict[int, str] = {}
+    for g in sorted(counts, key=lambda g: (-counts[g], g)):
+        if counts[g] >= 12:
+            slots.setdefault(gram_hash(g) % SLOTS, g)
+    vocab = {g: i for i, g in enumerate(sorted(slots.values()))}
     n_classes = len(TEMPLATES) + 1
 
     def matrix(part) -> tuple[np.ndarray, np.ndarray]:
@@ -150,36 +254,54 @@ def train(steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Classifie
         e = np.exp((s - s.max(1, keepdims=True)) / t)
         return e / e.sum(1, keepdims=True)
 
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(at(t)[np.arange(len(hy)), hy], 1e-12)).mean())
-    wrong = at(temperature)[hy == n_classes - 1, :-1].max(1)
-    least = max(0.5, float(np.quantile(wrong, 1 - FALSE_RATE)))
-    return Classifier([*TEMPLATES, UNKNOWN], [round(float(v), 5) for v in b], {g: [round(float(v), 5) for v in w[i]] for g, i in vocab.items()}, temperature, least)
+    temperature = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(at(t)[np.arange(len(hy)), hy], 1e-12)).mean())
+    q = at(temperature)
+    least = max(0.5, float(np.quantile(q[hy == n_classes - 1, :-1].max(1), 1 - FALSE_RATE)))
+    told = np.where(q.max(1) >= least, q.argmax(1), n_classes - 1)
+    confusion = np.zeros((n_classes, n_classes), int)
+    np.add.at(confusion, (hy, told), 1)
+    return Classifier([*TEMPLATES, UNKNOWN], [round(float(v), 5) for v in b], {g: [round(float(v), 5) for v in w[i]] for g, i in vocab.items()}, temperature, least, confusion)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", resembles: float = RESEMBLES) -> DataFrame:
     """doc_id, n_paragraphs, candidates (array of struct: paragraph no., family, probability, similarity, confirmed)."""
     m = train()
     constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    model = constant(m.weights, "map<string,array<double>>")
-    templates = [{"f": f, "g": [g for g in grams_of(words_of(t)) if " " in g]} for f, ts in TEMPLATES.items() for t in ts]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    paragraphs = F.split("_t", "\n")
-    df = base.withColumn("_p", F.when(F.col("_t").rlike(f"(?i){ANCHORS}"), F.filter(F.transform(paragraphs, lambda p, i: F.struct(i.alias("i"), F.lower(p).alias("p"))), lambda x: x["p"].rlike(ANCHORS))).otherwise(F.expr("array()")))
-    df = df.withColumn("_n", F.size(F.filter(paragraphs, lambda p: F.trim(p) != "")))
-    words = lambda p: F.array_remove(F.split(p, "[^a-z0-9]+"), "")
-    df = df.withColumn("_w", F.transform("_p", lambda x: F.struct(x["i"].alias("i"), words(x["p"]).alias("w"))))
-    pairs = "transform(sequence(1, greatest(size(x.w) - 1, 1)), k -> concat_ws(' ', get(x.w, k - 1), get(x.w, k)))"
-    df = df.withColumn("_g", F.expr(f"transform(_w, x -> struct(x.i as i, array_distinct(concat(x.w, {pairs})) as g, if(size(x.w) > 1, array_distinct({pairs}), cast(array() as array<string>)) as pairs))"))
-    df = df.withColumn("_m", F.when(F.size("_g") > 0, model))
-    bias = "array(" + ", ".join(f"{v!r}D" for v in m.bias) + ")"
-    df = df.withColumn("_s", F.expr(f"transform(_g, x -> struct(x.i as i, x.pairs as pairs, aggregate(x.g, {bias}, (a, g) -> if(try_element_at(_m, g) is null, a, zip_with(a, try_element_at(_m, g), (u, v) -> u + v))) as s))"))
-    names = "array(" + ", ".join(f"'{c}'" for c in m.classes) + ")"
-    df = df.withColumn("_b", F.expr(f"transform(_s, x -> struct(x.i as i, x.pairs as pairs, element_at({names}, cast(array_position(x.s, array_max(x.s)) as int)) as family, 1D / aggregate(x.s, 0D, (a, v) -> a + exp((v - array_max(x.s)) / {m.temperature!r}D)) as p))"))
-    df = df.withColumn("_k", F.when(F.size("_b") > 0, constant(templates, "array<struct<f:string,g:array<string>>>")))
-    like = "coalesce(array_max(transform(filter(_k, t -> t.f = x.family), t -> size(array_intersect(t.g, x.pairs)) / greatest(least(size(t.g), size(x.pairs)), 1))), 0D)"
-    df = df.withColumn("_r", F.expr(f"transform(_b, x -> struct(x.i as paragraph, x.family as family, round(x.p, 6) as probability, round({like}, 6) as similarity))"))
-    found = f"transform(_r, x -> struct(x.paragraph, x.family, x.probability, x.similarity, x.family <> '{UNKNOWN}' and x.probability >= {m.least!r}D and x.similarity >= {resembles!r}D as confirmed))"
-    return df.select("doc_id", F.col("_n").cast("long").alias("n_paragraphs"), F.expr(found).alias("candidates"))
+    slot_key, slot_id = [0] * SLOTS, [0] * SLOTS
+    for i, g in enumerate(m.weights):
+        h = gram_hash(g)
+        slot_key[h % SLOTS], slot_id[h % SLOTS] = h, i
+    keys, ids, weights = constant(slot_key, "array<bigint>"), constant(slot_id, "array<int>"), constant(list(m.weights.values()), "array<array<double>>")
+    bias, names = F.array(*[F.lit(v) for v in m.bias]), F.array(*[F.lit(c) for c in m.classes])
+    slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    none = F.array().cast("array<bigint>")
+
+    def pairs(u: Column) -> Column:
+        return F.when(F.size(u) > 1, F.transform(F.sequence(F.lit(1), F.size(u) - 1), lambda i: F.xxhash64(F.get(u, i - 1), F.get(u, i)))).otherwise(none)
+
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    # Blocks of lines of word hashes; a line without a word is none.
+    line = lambda p: F.transform(F.array_remove(F.split(p, "[^a-z0-9]+"), ""), lambda w: F.xxhash64(w))
+    block = lambda b: F.filter(F.transform(F.split(b, "\n"), line), lambda u: F.size(u) > 0)
+    df = df.select("doc_id", F.transform(F.split("_t", "\n[ \\t\\r]*\n"), block).alias("_l"))
+    df = df.select("doc_id", F.concat(F.flatten("_l"), F.transform(F.filter("_l", lambda b: F.size(b) > 1), lambda b: F.flatten(b))).alias("_u"))
+    df = df.withColumn("_n", F.size("_u"))
+    df = df.withColumn("_b", F.transform("_u", pairs))
+    known = lambda a: F.filter(a, lambda h: F.get(keys, slot(h)) == h)
+    df = df.withColumn("_h", F.zip_with("_u", "_b", lambda u, b: F.array_distinct(F.concat(known(u), known(b)))))
+    score = lambda h: F.aggregate(h, bias, lambda a, x: F.zip_with(a, F.get(weights, F.get(ids, slot(x))), lambda p, q: p + q))
+    df = df.withColumn("_s", F.transform("_h", lambda h: F.when(F.size(h) > 0, score(h)).otherwise(bias)))
+    best = lambda s, i: F.struct(i.alias("i"), F.element_at(names, F.array_position(s, F.array_max(s)).cast("int")).alias("f"), (F.lit(1.0) / F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp((v - F.array_max(s)) / m.temperature))).alias("p"))
+    df = df.withColumn("_c", F.filter(F.transform("_s", best), lambda x: (x["f"] != UNKNOWN) & (x["p"] >= m.least)))
+    templates = constant([{"f": f, "g": [gram_hash(g) for g in grams_of(words_of(t)) if " " in g]} for f in TEMPLATES for t in templates_of(f)], "array<struct<f:string,g:array<bigint>>>")
+
+    def like(x: Column) -> Column:
+        mine = F.array_distinct(F.get("_b", x["i"]))
+        share = lambda t: F.size(F.array_intersect(t["g"], mine)) / F.greatest(F.least(F.size(t["g"]), F.size(mine)), F.lit(1))
+        return F.coalesce(F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == x["f"]), share)), F.lit(0.0))
+
+    rated = F.transform("_c", lambda x: F.struct(x["i"].alias("paragraph"), x["f"].alias("family"), F.round(x["p"], 6).alias("probability"), F.round(like(x), 6).alias("similarity"), (like(x) >= resembles).alias("confirmed")))
+    return df.select("doc_id", F.col("_n").cast("long").alias("n_paragraphs"), rated.alias("candidates"))
 
 
 def verdicts(scanned: DataFrame) -> DataFrame:
