@@ -80,7 +80,8 @@ def test_selectors(spark):
 
 def test_filter_expressions():
     assert selectors.parse_filter("a == 'x' AND b==\"y z\" and c == 3") == [("a", "x"), ("b", "y z"), ("c", "3")]
-    for bad in ("a > 3", "a == ", "a == 'x' or b == 'y'", ""):
+    assert selectors.parse_filter(" k=='this and that' and  _m1 == -2.5 ") == [("k", "this and that"), ("_m1", "-2.5")]
+    for bad in ("a > 3", "a == ", "a = 3", "a === 3", "a == =", "== 3", "a 3", "1a == 3", "a == 'x", "a == 1 and", "and a == 1", "a == 1 b == 2", "a == 'x' or b == 'y'", "", " "):
         with pytest.raises(ValueError):
             selectors.parse_filter(bad)
 
@@ -173,3 +174,15 @@ def test_maintenance(spark):
         maintenance.reconstruct(rows, 8, 5)
     ok = maintenance.label_map_errors(rows, "id", "vec", 2).first()
     assert ok.contiguous and ok.same_dim
+
+
+def test_graph_search_with_a_condition_is_complete_and_ranges_are_exact(spark):
+    rng = np.random.RandomState(12)
+    x, q = rng.uniform(size=(300, 4)), rng.uniform(size=(10, 4))
+    g = graph.GraphIndex(m=8, ef_search=16, shards=2).add(frame(spark, x))
+    got = g.search(frame(spark, q), 5, condition=F.col("id") % 30 == 0).collect()
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    assert {(r.query_id, r.id) for r in got} == {(i, int(j) * 30) for i in range(10) for j in np.argsort(d[i, ::30])[:5]}
+    near = {(r.query_id, r.id) for r in g.range_search(frame(spark, q), 0.1).collect()}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d < 0.1))}
+    assert near <= want and len(near) >= 0.9 * len(want)

@@ -90,11 +90,12 @@ class Graph:
                 return at
             at, best = around[int(s.argmin())], float(s.min())
 
-    def _beam(self, q: np.ndarray, start: list[int], level: int, ef: int, score) -> list[tuple[float, int]]:
+    def _beam(self, q: np.ndarray, start: list[int], level: int, ef: int, score, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The ef best found. Nodes that are not allowed are walked through but take no place among them."""
         score = score or (lambda at: self.score(q, at))
         seen = set(start)
         first = list(zip(score(start).tolist(), start))
-        todo, best = list(first), [(-s, j) for s, j in first]
+        todo, best = list(first), [(-s, j) for s, j in first if allowed is None or allowed[j]]
         heapq.heapify(todo)
         heapq.heapify(best)
         while todo:
@@ -108,6 +109,8 @@ class Graph:
             for d, n in zip(score(around).tolist(), around):
                 if len(best) < ef or d < -best[0][0]:
                     heapq.heappush(todo, (d, n))
+                    if allowed is not None and not allowed[n]:
+                        continue
                     heapq.heappush(best, (-d, n))
                     if len(best) > ef:
                         heapq.heappop(best)
@@ -117,8 +120,22 @@ class Graph:
         at = self.entry
         for l in range(self.top, 0, -1):
             at = self._greedy(q, at, l)
-        found = self._beam(q, [at], 0, max(ef, k), None)
-        return [(s, j) for s, j in found if allowed is None or allowed[j]][:k]
+        return self._beam(q, [at], 0, max(ef, k), None, allowed)[:k]
+
+    def within(self, q: np.ndarray, limit: float, ef: int) -> list[tuple[float, int]]:
+        """Nodes with a score below the limit: those the beam finds, and all that hang on them through such nodes."""
+        at = self.entry
+        for l in range(self.top, 0, -1):
+            at = self._greedy(q, at, l)
+        found = {j: s for s, j in self._beam(q, [at], 0, ef, None) if s < limit}
+        todo = list(found)
+        while todo:
+            around = [n for n in self.links[todo.pop()][0] if n not in found]
+            for s, n in zip(self.score(q, around).tolist(), around) if around else ():
+                if s < limit and n not in found:
+                    found[n] = s
+                    todo.append(n)
+        return [(s, j) for j, s in found.items()]
 
 
 class GraphIndex:
@@ -159,7 +176,16 @@ class GraphIndex:
 
     def search(self, queries: DataFrame, k: int, ef_search: int | None = None, condition=None) -> DataFrame:
         """k nearest; `condition` (a Column over id) limits the hits."""
-        ef, metric, m = ef_search or self.ef_search, self.metric, self.m
+        ef = ef_search or self.ef_search
+        return top_k(self._answers(queries, condition, lambda g, v, allowed: g.search(v, k, ef, allowed)), k, self.metric.larger_is_better)
+
+    def range_search(self, queries: DataFrame, radius: float, ef_search: int | None = None) -> DataFrame:
+        """(query_id, id, distance) of what lies strictly within the radius and hangs together in the graph."""
+        ef, limit = ef_search or self.ef_search, -radius if self.metric.larger_is_better else radius
+        return self._answers(queries, None, lambda g, v, _: g.within(v, limit, ef))
+
+    def _answers(self, queries: DataFrame, condition, find) -> DataFrame:
+        metric, m = self.metric, self.m
         nodes = self._nodes().withColumn("ok", condition if condition is not None else F.lit(True))
         shards = nodes.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "id", "vec", "links", "entry", "ok"))).alias("nodes"))
 
@@ -174,12 +200,12 @@ class GraphIndex:
                     g.top = len(g.links[g.entry]) - 1
                     allowed, rows = np.array([n["ok"] for n in nodes]), []
                     for q, v in zip(qi.tolist(), np.frombuffer(qv).reshape(len(qi), -1)):
-                        rows += [(q, nodes[j]["id"], -s if metric.larger_is_better else s) for s, j in g.search(v, k, ef, allowed)]
+                        rows += [(q, nodes[j]["id"], -s if metric.larger_is_better else s) for s, j in find(g, v, allowed)]
                     cols = list(zip(*rows)) or [[]] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "distance"])
 
         pairs = _blocks(queries, "q", QUERY_BLOCK).crossJoin(shards.select("nodes"))
-        return top_k(pairs.mapInArrow(run, "query_id long, id long, distance double"), k, self.metric.larger_is_better)
+        return pairs.mapInArrow(run, "query_id long, id long, distance double")
 
     def stored(self) -> DataFrame:
         return self._nodes().select("id", "vec")

@@ -77,18 +77,36 @@ def select_batch(base: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
     return base.join(base.sparkSession.createDataFrame([(i,) for i in found], "id long"), "id", "left_semi")
 
 
-_CLAUSE = re.compile(r"""\s*([A-Za-z_][A-Za-z0-9_]*)\s*==?\s*('[^']*'|"[^"]*"|[^\s'"]+)\s*""")
+#: Tokens of a filter: quoted text, the operator, or a bare word.
+_TOKEN = re.compile(r"\s*(?:'(?P<one>[^']*)'|\"(?P<two>[^\"]*)\"|(?P<op>=+)|(?P<word>[^\s'\"=]+))")
+_KEY = re.compile(r"[A-Za-z_]\w*", re.ASCII)
 
 
 def parse_filter(expression: str) -> list[tuple[str, str]]:
-    """(key, literal) of each clause `key == literal`; clauses are joined by `and`, in any case."""
-    out = []
-    for part in re.split(r"\s+and\s+", expression.strip(), flags=re.IGNORECASE):
-        m = _CLAUSE.fullmatch(part)
+    """(key, literal) of each clause.
+
+    filter: clause {"and" clause}, `and` in any case; clause: key "==" literal; key: a name; literal: quoted text or a
+    bare word without quotes and equal signs. Anything else is a ValueError.
+    """
+    wrong = ValueError(f"unsupported filter: {expression}")
+    tokens, at, end = [], 0, len(expression.rstrip())
+    while at < end:
+        m = _TOKEN.match(expression, at, end)
         if not m:
-            raise ValueError(f"unsupported filter: {expression}")
-        out.append((m[1], m[2][1:-1] if m[2][0] in "'\"" else m[2]))
-    return out
+            raise wrong
+        tokens.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    out = []
+    for i in range(0, len(tokens) + 1, 4):
+        clause, after = tokens[i : i + 3], tokens[i + 3 : i + 4]
+        if len(clause) < 3 or clause[0][0] != "word" or not _KEY.fullmatch(clause[0][1]) or clause[1] != ("op", "==") or clause[2][0] == "op":
+            raise wrong
+        out.append((clause[0][1], clause[2][1]))
+        if not after:
+            return out
+        if after[0][0] != "word" or after[0][1].lower() != "and":
+            raise wrong
+    raise wrong
 
 
 def filter_column(expression: str, columns: dict[str, Column], metadata: Column) -> Column:

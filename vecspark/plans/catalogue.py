@@ -1,14 +1,12 @@
 """The registered queries of the vector engine and their SQL twins.
 
-Queries are the vectors with vec_id < 20 and the base is all vectors; trained artefacts are fixed (centroids are
-the vectors with vec_id < 16), so that SQL can state every result. Distances are rounded to six digits. Each search
-NAME is registered again as NAME_whole: its queries are the vectors whose vec_id is divisible by 20, and no side is cut.
+Queries are the vectors whose vec_id is divisible by 20 and the base is all vectors; trained artefacts are fixed
+(centroids are the vectors with vec_id < 16), so that SQL can state every result. Distances are rounded to six digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +19,6 @@ from ..operators import codecs, exact, graph, ivf, kmeans, maintenance, selector
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 D = 64
-#: True while a NAME_whole query is declared.
-_whole = ContextVar("whole", default=False)
 
 
 def query(name: str, sql: str | None = None):
@@ -47,19 +43,14 @@ def base(spark: SparkSession, sf_dir: str, change: str | None = None) -> DataFra
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).select("id", F.expr(change).alias("vec"))
 
 
-def sides(spark: SparkSession, sf_dir: str, change: str | None = None, n: int = 20) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str, change: str | None = None) -> tuple[DataFrame, DataFrame]:
     b = base(spark, sf_dir, change)
-    return asked(b, n), b
+    return asked(b), b
 
 
-def asked(b: DataFrame, n: int = 20) -> DataFrame:
+def asked(b: DataFrame) -> DataFrame:
     """The rows of b that are queries."""
-    return b.where("id % 20 = 0") if _whole.get() else b.where(F.col("id") < n)
-
-
-def below(b: DataFrame, n: int) -> DataFrame:
-    """The rows of b with id < n, or all of them in a NAME_whole query."""
-    return b if _whole.get() else b.where(F.col("id") < n)
+    return b.where("id % 20 = 0")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -97,8 +88,8 @@ CHANGES = {
 }
 
 
-def sql_sides(change: str = "v", n: int = 20) -> str:
-    return f"""WITH e AS (SELECT vec_id AS id, embedding::double[] AS v, vec_id FROM embeddings), b AS (SELECT id, {change} AS v FROM e), q AS (SELECT id AS qid, v FROM b WHERE id < {n})"""
+def sql_sides(change: str = "v", asked: str = "id % 20 = 0") -> str:
+    return f"""WITH e AS (SELECT vec_id AS id, embedding::double[] AS v, vec_id FROM embeddings), b AS (SELECT id, {change} AS v FROM e), q AS (SELECT id AS qid, v FROM b WHERE {asked})"""
 
 
 def sql_top(scored: str, k: int = 10, larger: bool = False, extra: str = "") -> str:
@@ -106,9 +97,9 @@ def sql_top(scored: str, k: int = 10, larger: bool = False, extra: str = "") ->
     return f"""SELECT qid AS query_id, rank, id, round(d, 6) + 0.0 AS distance{extra} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d {'DESC' if larger else 'ASC'}, id) AS rank FROM ({scored}) WHERE NOT isnan(d)) WHERE rank <= {k}"""
 
 
-def sql_knn(metric: str, k: int = 10, change: str = "v", where: str = "true", n: int = 20) -> str:
+def sql_knn(metric: str, k: int = 10, change: str = "v", where: str = "true", asked: str = "id % 20 = 0") -> str:
     larger = metric in ("ip", "jaccard")
-    return f"{sql_sides(change, n)} {sql_top(f'SELECT qid, b.id, {SQL_DISTANCE[metric]} AS d FROM q, b WHERE {where}', k, larger)}"
+    return f"{sql_sides(change, asked)} {sql_top(f'SELECT qid, b.id, {SQL_DISTANCE[metric]} AS d FROM q, b WHERE {where}', k, larger)}"
 
 
 # --- exact search ----------------------------------------------------------------------------------
@@ -141,9 +132,10 @@ def knn_self_excluding(spark, sf_dir):
     return rounded(exact.knn(*sides(spark, sf_dir), 10, exclude_self=True))
 
 
-@query("knn_all_pairs", sql_knn("l2", 5, n=1 << 40))
+@query("knn_all_pairs", sql_knn("l2", 5, asked="true"))
 def knn_all_pairs(spark, sf_dir):
-    return rounded(exact.knn(*sides(spark, sf_dir, n=1 << 40), 5))
+    b = base(spark, sf_dir)
+    return rounded(exact.knn(b, b, 5))
 
 
 @query("assign", f"SELECT query_id, id FROM ({sql_knn('l2', 1)})")
@@ -157,10 +149,10 @@ def search_and_reconstruct(spark, sf_dir):
     return r.withColumn("vec", F.expr("transform(vec, x -> round(cast(x as double), 6))"))
 
 
-@query("knn_padded", f"SELECT g.qid AS query_id, g.r AS rank, coalesce(k.id, -1) AS id, coalesce(k.distance, 'inf'::double) AS distance FROM (SELECT vec_id AS qid, r FROM embeddings, range(1, 13) t(r) WHERE vec_id < 20) g LEFT JOIN ({sql_knn('l2', 12, where='b.id < 9')}) k ON g.qid = k.query_id AND g.r = k.rank")
+@query("knn_padded", f"SELECT g.qid AS query_id, g.r AS rank, coalesce(k.id, -1) AS id, coalesce(k.distance, 'inf'::double) AS distance FROM (SELECT vec_id AS qid, r FROM embeddings, range(1, 13) t(r) WHERE vec_id % 20 = 0) g LEFT JOIN ({sql_knn('l2', 12, where='b.id < 9')}) k ON g.qid = k.query_id AND g.r = k.rank")
 def knn_padded(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return exact.padded(rounded(exact.knn(q, below(b, 9), 12)), q, 12)
+    return exact.padded(rounded(exact.knn(q, b.where("id < 9"), 12)), q, 12)
 
 
 def _range(metric: str, op: str, radius: float) -> str:
@@ -182,28 +174,28 @@ def range_l1_catalyst(spark, sf_dir):
     return rounded(exact.range_search(*sides(spark, sf_dir), 8.0, "l1", inclusive=True, strategy="sql"))
 
 
-@query("range_l2_limits", f"SELECT v.vec_id AS query_id, coalesce(n, 0) AS n, coalesce(sum(coalesce(n, 0)) OVER (ORDER BY v.vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS lim FROM (SELECT vec_id FROM embeddings WHERE vec_id < 20) v LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_range('l2', '<', 1.5)}) GROUP BY query_id) h ON v.vec_id = h.query_id")
+@query("range_l2_limits", f"SELECT v.vec_id AS query_id, coalesce(n, 0) AS n, coalesce(sum(coalesce(n, 0)) OVER (ORDER BY v.vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS lim FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) v LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_range('l2', '<', 1.5)}) GROUP BY query_id) h ON v.vec_id = h.query_id")
 def range_l2_limits(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     return exact.range_limits(q, exact.range_search(q, b, 1.5))
 
 
-@query("pairwise_l2", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS distance FROM q, b WHERE b.id < 50")
+@query("pairwise_l2", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS distance FROM q, b")
 def pairwise_l2(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return rounded(exact.pairwise(q, below(b, 50)))
+    return rounded(exact.pairwise(q, b))
 
 
-@query("pairwise_canberra", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['canberra']}, 6) + 0.0 AS distance FROM q, b WHERE b.id < 50")
+@query("pairwise_canberra", f"{sql_sides()} SELECT qid AS query_id, b.id, round({SQL_DISTANCE['canberra']}, 6) + 0.0 AS distance FROM q, b")
 def pairwise_canberra(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    return rounded(exact.pairwise(q, below(b, 50), "canberra"))
+    return rounded(exact.pairwise(q, b, "canberra"))
 
 
-@query("pairwise_indexed_ip", f"{sql_sides()}, p AS (SELECT id AS pos, id AS ix, CASE WHEN id % 5 = 0 THEN -1 ELSE id + 7 END AS iy FROM b WHERE id < 40) SELECT p.pos, p.ix, p.iy, CASE WHEN b.id IS NULL THEN '-inf'::double ELSE round({SQL_DISTANCE['ip'].replace('q.v', 'x.v')}, 6) + 0.0 END AS distance FROM p JOIN b x ON x.id = p.ix LEFT JOIN b ON b.id = p.iy")
+@query("pairwise_indexed_ip", f"{sql_sides()}, p AS (SELECT id AS pos, id AS ix, CASE WHEN id % 5 = 0 THEN -1 ELSE id + 7 END AS iy FROM b) SELECT p.pos, p.ix, p.iy, CASE WHEN b.id IS NULL THEN '-inf'::double ELSE round({SQL_DISTANCE['ip'].replace('q.v', 'x.v')}, 6) + 0.0 END AS distance FROM p JOIN b x ON x.id = p.ix LEFT JOIN b ON b.id = p.iy")
 def pairwise_indexed_ip(spark, sf_dir):
     b = base(spark, sf_dir)
-    pairs = below(b, 40).select(F.col("id").alias("pos"), F.col("id").alias("ix"), F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") + 7).alias("iy"))
+    pairs = b.select(F.col("id").alias("pos"), F.col("id").alias("ix"), F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") + 7).alias("iy"))
     return rounded(exact.pairwise_indexed(pairs, b, b, "ip"))
 
 
@@ -345,10 +337,10 @@ def madd_argmin(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.madd("embedding", 3.0, "embedding").alias("s")).select("vec_id", V.argmin("s").alias("at"))
 
 
-@query("ip_to_l2", f"{sql_sides()} SELECT qid, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS l2 FROM q, b WHERE b.id < 30")
+@query("ip_to_l2", f"{sql_sides()} SELECT qid, b.id, round({SQL_DISTANCE['l2']}, 6) + 0.0 AS l2 FROM q, b")
 def ip_to_l2(spark, sf_dir):
     q, b = sides(spark, sf_dir)
-    p = q.select(F.col("id").alias("qid"), F.col("vec").alias("x")).crossJoin(below(b, 30).select("id", F.col("vec").alias("y")))
+    p = q.select(F.col("id").alias("qid"), F.col("vec").alias("x")).crossJoin(b.select("id", F.col("vec").alias("y")))
     return p.select("qid", "id", (F.round(V.ip_to_l2(V.norm2("x"), V.norm2("y"), distance("ip", "x", "y")), 6) + F.lit(0.0)).alias("l2"))
 
 
@@ -440,7 +432,7 @@ def ivf_list_sizes(spark, sf_dir):
     return fixed_ivf(spark, sf_dir).add(base(spark, sf_dir)).list_sizes()
 
 
-_PROBED = "SELECT p.id AS qid, l.id, {d} AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN b ON b.id = l.id WHERE p.id < 20 AND p.r <= 4"
+_PROBED = "SELECT p.id AS qid, l.id, {d} AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN b ON b.id = l.id WHERE p.id % 20 = 0 AND p.r <= 4"
 
 
 @query("ivf_flat_nprobe4", f"{_CENTROIDS} {sql_top(_PROBED.format(d=SQL_DISTANCE['l2']))}")
@@ -510,11 +502,11 @@ def pq_adc(spark, sf_dir):
     return rounded(codecs.code_search(q, codecs.encode(b, pq), pq, 10))
 
 
-@query("pq_symmetric", f"{_PQ} SELECT x.id AS a, y.id AS b, round({_sum('(x.v[i] - y.v[i]) ** 2')}, 6) + 0.0 AS distance FROM y x, y WHERE x.id < 10 AND y.id < 30")
+@query("pq_symmetric", f"{_PQ} SELECT x.id AS a, y.id AS b, round({_sum('(x.v[i] - y.v[i]) ** 2')}, 6) + 0.0 AS distance FROM y x, y WHERE x.id % 20 = 0")
 def pq_symmetric(spark, sf_dir):
     pq = fixed_pq(spark, sf_dir)
     d = codecs.decode(codecs.encode(base(spark, sf_dir), pq), pq)
-    p = asked(d, 10).select(F.col("id").alias("a"), F.col("vec").alias("x")).crossJoin(below(d, 30).select(F.col("id").alias("b"), F.col("vec").alias("y")))
+    p = asked(d).select(F.col("id").alias("a"), F.col("vec").alias("x")).crossJoin(d.select(F.col("id").alias("b"), F.col("vec").alias("y")))
     return rounded(p.select("a", "b", codecs.symmetric_distance("x", "y").alias("distance")))
 
 
@@ -548,19 +540,19 @@ _IVFPQ = (
 )
 
 
-@query("ivfpq", f"{_IVFPQ} {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN y ON y.id = l.id WHERE p.id < 20 AND p.r <= 4')}")
+@query("ivfpq", f"{_IVFPQ} {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN y ON y.id = l.id WHERE p.id % 20 = 0 AND p.r <= 4')}")
 def ivfpq(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     return rounded(fixed_ivf(spark, sf_dir, quantizer=fixed_pq(spark, sf_dir)).add(b).search(q, 10, 4))
 
 
-@query("ivfpq_raw", f"{_CENTROIDS}, pq AS (SELECT id, m AS part, no AS number FROM (SELECT b.id, m, c.no, row_number() OVER (PARTITION BY b.id, m ORDER BY {_SUBD}, c.no) AS r FROM b, c, range(8) t(m)) WHERE r = 1), y AS (SELECT pq.id, flatten(list(c.v[part * 8 + 1:part * 8 + 8] ORDER BY part)) AS v FROM pq JOIN c ON c.no = pq.number GROUP BY pq.id) {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN y ON y.id = l.id WHERE p.id < 20 AND p.r <= 4')}")
+@query("ivfpq_raw", f"{_CENTROIDS}, pq AS (SELECT id, m AS part, no AS number FROM (SELECT b.id, m, c.no, row_number() OVER (PARTITION BY b.id, m ORDER BY {_SUBD}, c.no) AS r FROM b, c, range(8) t(m)) WHERE r = 1), y AS (SELECT pq.id, flatten(list(c.v[part * 8 + 1:part * 8 + 8] ORDER BY part)) AS v FROM pq JOIN c ON c.no = pq.number GROUP BY pq.id) {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN y ON y.id = l.id WHERE p.id % 20 = 0 AND p.r <= 4')}")
 def ivfpq_raw(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     return rounded(fixed_ivf(spark, sf_dir, quantizer=fixed_pq(spark, sf_dir), by_residual=False).add(b).search(q, 10, 4))
 
 
-@query("ivflvq", f"{_LVQ}, c AS (SELECT id AS no, v FROM b WHERE id < 16), a AS (SELECT * FROM (SELECT b.id, c.no, row_number() OVER (PARTITION BY b.id ORDER BY {SQL_DISTANCE['l2'].replace('q.v', 'c.v')}, c.no) AS r FROM b, c)) {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN code y ON y.id = l.id WHERE p.id < 20 AND p.r <= 4')}")
+@query("ivflvq", f"{_LVQ}, c AS (SELECT id AS no, v FROM b WHERE id < 16), a AS (SELECT * FROM (SELECT b.id, c.no, row_number() OVER (PARTITION BY b.id ORDER BY {SQL_DISTANCE['l2'].replace('q.v', 'c.v')}, c.no) AS r FROM b, c)) {sql_top('SELECT p.id AS qid, l.id, ' + _sum('(q.v[i] - y.v[i]) ** 2') + ' AS d FROM a p JOIN a l ON p.no = l.no AND l.r = 1 JOIN b q ON q.id = p.id JOIN code y ON y.id = l.id WHERE p.id % 20 = 0 AND p.r <= 4')}")
 def ivflvq(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     return rounded(fixed_ivf(spark, sf_dir, quantizer=fixed_lvq(spark, sf_dir), by_residual=False).add(b).search(q, 10, 4))
@@ -644,35 +636,3 @@ def hnsw_lvq_search(spark, sf_dir):
     q, b = sides(spark, sf_dir)
     lvq = codecs.LocalQuantizer.train(b, 8, 5, 8)
     return rounded(exact.rerank(graph.GraphIndex(m=16, ef_search=32, quantizer=lvq).add(b).freeze().search(q, CANDIDATES), q, b, 10))
-
-
-# --- the searches with every query ------------------------------------------------------------------------
-_SEARCHES = [
-    n
-    for n in QUERIES
-    if n.startswith(("knn_", "sel_", "filter_p", "range_", "ivf_flat", "ivf_range", "ivf_search", "ivfpq", "ivflvq", "hnsw_", "pairwise_")) and n != "knn_all_pairs"
-    or n in ("assign", "search_and_reconstruct", "distances_by_id", "merge_shards", "rerank", "id_map_search", "ip_to_l2", "result_heap", "per_line_extrema", "recall_intersection", "pq_adc", "pq_symmetric", "lvq_adc")
-]
-#: What the SQL of a NAME_whole query has in place of an id cut.
-_WHOLE_SQL = {
-    "FROM b WHERE id < 20)": "FROM b WHERE id % 20 = 0)", "WHERE vec_id < 20": "WHERE vec_id % 20 = 0", "p.id < 20": "p.id % 20 = 0", "x.id < 10 AND y.id < 30": "x.id % 20 = 0",
-    "WHERE b.id < 9": "WHERE true", "WHERE b.id < 50": "WHERE true", "WHERE b.id < 30": "WHERE true", "FROM b WHERE id < 40)": "FROM b)",
-}
-
-
-def _uncut(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return run(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    return whole
-
-
-for _name in _SEARCHES:
-    _sql = ORACLE_SQL.get(_name)
-    for _cut, _all in _WHOLE_SQL.items():
-        _sql = _sql and _sql.replace(_cut, _all)
-    query(f"{_name}_whole", _sql)(_uncut(QUERIES[_name]))

@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.codecs import LocalQuantizer, ProductQuantizer, Quantizer
 from ..operators.graph import GraphIndex
@@ -45,7 +46,11 @@ class CodeIndex:
     def add(self, rows: DataFrame) -> CodeIndex:
         from ..operators.codecs import encode
 
-        new = encode(rows, self.quantizer)
+        return self.add_codes(encode(rows, self.quantizer))
+
+    def add_codes(self, codes: DataFrame) -> CodeIndex:
+        """Appends ready codes (id, code) of this quantizer."""
+        new = codes.select("id", "code")
         self.codes = new if self.codes is None else self.codes.unionByName(new)
         return self
 
@@ -87,7 +92,7 @@ def read_quantizer(spark: SparkSession, path: str) -> Quantizer:
 
 
 def write_index(spark: SparkSession, index: Index, path: str) -> str:
-    """Writes the index; gives the SHA-256 of its description, which names every table's content hash."""
+    """Writes the index; gives the SHA-256 of its description, which holds a hash of the table's rows in no order."""
     meta: dict = {}
     if isinstance(index, FlatIndex):
         meta, table = {"kind": "flat", "metric": index.metric}, index.rows
@@ -108,6 +113,9 @@ def write_index(spark: SparkSession, index: Index, path: str) -> str:
     stored = spark.read.parquet(f"{path}/table")
     meta["total"] = stored.count()
     meta["columns"] = stored.columns
+    # Each row's two hashes, summed: equal for equal rows in any order and any files.
+    own = [F.xxhash64(*sorted(stored.columns), F.lit(seed)).cast("decimal(38,0)") for seed in (0, 1)]
+    meta["content"] = [str(x or 0) for x in stored.agg(*[F.sum(h) for h in own]).first()]
     data = json.dumps(meta, sort_keys=True).encode()
     Files(spark, path).write("meta.json", data)
     return hashlib.sha256(data).hexdigest()

@@ -25,7 +25,7 @@ OVERSAMPLE = 8
 #: Documented index types by lower-case name.
 INDEX_TYPES = {
     "flat": "flat", "autoindex": "flat", "hnsw": "hnsw", "hnswflat": "hnsw", "hnswpq": "hnsw_pq", "hnswlvq": "hnsw_lvq", "hnsw_pq": "hnsw_pq", "hnsw_lvq": "hnsw_lvq",
-    "ivf_flat": "ivf", "ivfflat": "ivf", "ivf_pq": "ivf_pq", "ivfpq": "ivf_pq", "ivf_lvq": "ivf_lvq", "ivflvq": "ivf_lvq", "pq": "pq", "lvq": "lvq",
+    "ivf": "ivf", "ivf_flat": "ivf", "ivfflat": "ivf", "ivf_pq": "ivf_pq", "ivfpq": "ivf_pq", "ivf_lvq": "ivf_lvq", "ivflvq": "ivf_lvq", "pq": "pq", "lvq": "lvq",
 }
 
 
@@ -34,13 +34,17 @@ def make_index(rows: DataFrame, dim: int, kind: str = "AUTOINDEX", metric: str =
     p = dict(params or {})
     if bad := {"M", "m", "M_hnsw", "M_pq"} & p.keys():
         raise ValueError(f"unsupported parameters: {sorted(bad)}")
-    which = INDEX_TYPES.get(kind.replace(" ", "").lower())
+    plain = kind.replace(" ", "").lower()
+    which = INDEX_TYPES.get(plain) or INDEX_TYPES.get(plain.removeprefix("index"))
     if which is None:
         raise ValueError(f"unknown index type: {kind}")
     name = metric.strip().lower()
     m = "ip" if name == "cosine" else parse_metric(metric).name
     if m not in ("l2", "ip"):
         raise ValueError(f"unsupported metric: {metric}")
+    for key in ("nlist", "nlocal", "nbits", "m_pq", "m_hnsw", "nprobe", "ef_construction", "ef_search", "shards"):
+        if key in p and (isinstance(p[key], bool) or not isinstance(p[key], int) or p[key] < 1):
+            raise ValueError(f"{key} must be a positive integer")
     nlist, nlocal, nbits, m_pq, m_hnsw = (int(p.get(k, d)) for k, d in (("nlist", 1024), ("nlocal", 16), ("nbits", 8), ("m_pq", 8), ("m_hnsw", 32)))
     if which.endswith("pq") and dim % m_pq:
         raise ValueError("the dimension must be a multiple of m_pq")
@@ -147,11 +151,17 @@ class Collections:
                 return f["name"]
         return default
 
-    def insert(self, name: str, rows: list[dict] | DataFrame) -> int:
-        """Adds rows; they are found once the collection is flushed. Keys without a field go to the metadata."""
+    def insert(self, name: str, rows: list[dict] | DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Adds rows; they are found once the collection is flushed. Keys without a field go to the metadata.
+
+        batch: (name of a stream, number); a batch that is here already adds no row.
+        """
         m = self._meta(name)
         id_field, vec_field = self._field(m, "primary", "id"), self._field(m, "vector", "vector")
         store = self._store(name)
+        if batch and store.holds(batch):
+            self._update(name, total=store.count())
+            return 0
         first = store.next_id()
         if isinstance(rows, DataFrame):
             other = [c for c in rows.columns if c not in (id_field, vec_field, "contents")]
@@ -180,7 +190,7 @@ class Collections:
             raise ValueError("duplicate row_id or doc_id")
         # The version moves before the rows do, so a stale index never passes for a fresh one.
         self._update(name, data_version=m["data_version"] + 1, dim=dims[0])
-        n = store.append(made)
+        n = store.append(made, batch)
         self._loaded.pop(name, None)
         self._update(name, total=store.count())
         return n
@@ -268,6 +278,8 @@ class Collections:
         from .store import SCHEMA
 
         manifest, index, rows = bundle.read(data)
+        if manifest["collection_name"] != name:
+            raise ValueError(f"the bundle is of {manifest['collection_name']}, not of {name}")
         if not self.has(name):
             self.create(name, manifest["schema"], **json.loads(index))
         m, store = self._meta(name), self._store(name)

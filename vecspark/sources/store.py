@@ -27,8 +27,8 @@ class RowStore:
     def _commit(self, parts: list[str], pointer: str = "current") -> None:
         self.files.write(pointer, json.dumps(parts).encode())
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"data-{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> str:
+        name = f"data-{uuid.uuid4().hex}" + (f"-{batch[0]}-{batch[1]}" if batch else "")
         rows.write.parquet(self.files.at(name))
         return name
 
@@ -55,13 +55,20 @@ class RowStore:
     def next_id(self) -> int:
         return self.rows().agg(F.coalesce(F.max("row_id"), F.lit(-1)) + 1).first()[0]
 
-    def append(self, rows: DataFrame) -> int:
-        """Adds rows, all or none: a repeated row_id or doc_id, within the batch or with the table, is a ValueError."""
+    def holds(self, batch: tuple[str, int]) -> bool:
+        """Whether the rows of that batch of a stream were committed."""
+        return any(p.endswith(f"-{batch[0]}-{batch[1]}") for p in self._parts())
+
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Adds rows, all or none: a repeated row_id or doc_id, within the batch or with the table, is a ValueError.
+
+        batch: (name of a stream, number); it is committed with the rows, in the folder's name.
+        """
         now = time.time()
         kinds = dict(rows.dtypes)
         time_of = lambda c: F.col(c) if c in kinds else F.lit(now)
         rows = rows.withColumns({"created_at": time_of("created_at"), "updated_at": time_of("updated_at")})
-        name = self._write(rows.select(*[F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in SCHEMA.split(", ")]))
+        name = self._write(rows.select(*[F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in SCHEMA.split(", ")]), batch)
         new = self.spark.read.schema(SCHEMA).parquet(self.files.at(name))
         if self._repeats(new):
             self.files.delete(name)

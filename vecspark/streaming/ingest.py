@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,19 +12,21 @@ from ..sources.collection import Collections
 
 
 def insert_stream(stream: DataFrame, collections: Collections, name: str, checkpoint: str, flush: bool = True, once: bool = True) -> StreamingQuery:
-    """Inserts each micro-batch; rows are found after the flush. A batch that is replayed is not inserted twice."""
-    key = f"{name}/last_batch"
+    """Inserts each micro-batch; rows are found after the flush.
+
+    The batch's number is committed with its rows in one step, so a batch that is replayed after a crash anywhere is not
+    inserted twice, and what followed the insert is done again. A collection that was purged or imported forgets its batches.
+    """
+    key = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, number: int) -> None:
-        last = collections.describe(name).get("last_batch", -1)
-        if number <= last or not batch.limit(1).count():
+        if not batch.limit(1).count():
             return
-        collections.insert(name, batch)
-        collections._update(name, last_batch=number)
+        collections.insert(name, batch, (key, number))
         if flush:
             collections.flush(name)
 
-    writer = stream.writeStream.queryName(key.replace("/", "_")).foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.queryName(f"insert_{name}_{key}").foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
