@@ -648,3 +648,15 @@ def test_pipeline_judges_every_row_and_keeps_ids(spark):
     got = corpus_pipeline.near_dedup_stage(spark, df, DATA)
     assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(1, a), (1, b), (0, prose(60, 13))])
     assert "ids" in corpus_pipeline.packing_stage(spark, got, DATA).columns
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, docs, empty):
+    import corpus_pipeline
+
+    odd = docs.withColumn("source", F.lit(None).cast("string"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, DATA), stage(spark, empty, DATA)
+        assert none.count() == 0, name
+        if name != "packing":
+            assert out.columns == odd.columns and none.columns == empty.columns, name
+            assert out.count() <= odd.count(), name
