@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import minhash, packing, quality, secrets, substrings
-from vecspark.llm.common import cut, drop
+from vecspark.llm.common import cut, drop, free_shuffles
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, or whose host does, go."""
+    """Documents that fail a rule, or whose host does, go.
+
+    A null or empty text is short and goes; a null source is a host; repeated rows are judged each; an empty table stays empty.
+    """
     keep = {f"keep_{c}": F.col(c) for c in docs.columns}
     rated = quality.rule_failures(quality.document_counts(docs, "text", keep | {"host": F.col("source")}))
     # Rejected texts are not written again; their rows stay for the rates of the hosts.
@@ -32,12 +35,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged each.
     """
     rows = cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    free_shuffles(spark)
     ids = minhash.near_duplicates(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
     return rows.join(ids, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds go; a document with no word left goes."""
+    """Passages that an earlier document holds go; a document with no word left (so a null or empty one) goes.
+
+    A text that loses nothing stays as it is, white space included; rows that share a doc_id do not cut each other; a null
+    doc_id is the last.
+    """
     other = tuple(c for c in docs.columns if c != "doc_id")
     rows = substrings.substring_dedup(docs, keep=other)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("keep_text"))
@@ -47,13 +55,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked by their kind."""
+    """Secrets are masked by their kind; a null text stays null, every row stays."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048, one row a piece with its ids."""
+    """Token sequences of at most 2048, one row a piece with its ids; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
