@@ -163,13 +163,14 @@ def flagged_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     free_shuffles(spark)
     # Anchors are distinct and dealt by hash: a part's share of them is small.
     found = cut(_occurrences(keyed, window, True).join(shared.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("found")), "found")
+    drop(shared)
     free_shuffles(spark)
     parts = cut(_contents(keyed.join(found, ["doc", "mark"]).select("doc", "mark", "text", "found"), window).withColumn("h", F.xxhash64("words")), "stretches")
     drop(found)
-    drop(shared)
     free_shuffles(spark)
     unique = _unique(parts)
     busy = cut(unique.groupBy("route").count().where(F.col("count") > hot).select("route"), "hot")
+    free_shuffles(spark)
     if busy.limit(1).count():
         w = F.split("words", " ")
         windows = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("ws", i + 1, window), " ").alias("words")))
