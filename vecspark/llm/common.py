@@ -42,7 +42,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it, which ends its lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._vecspark_path = path
     return out
