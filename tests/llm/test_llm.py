@@ -660,3 +660,23 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, docs, empty):
         if name != "packing":
             assert out.columns == odd.columns and none.columns == empty.columns, name
             assert out.count() <= odd.count(), name
+
+
+def test_pivots_skip_blocks(monkeypatch):
+    """Blocks whose maxima cannot reach the k-th score are not decoded, and the best documents are those of all."""
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    r = np.random.RandomState(11)
+    n, rows, truth = 800, [], np.zeros(800)
+    size = r.randint(20, 60, n)
+    rows.append((None, n, np.arange(n, dtype="<i8").tobytes(), size.astype("<i8").tobytes(), None, None))
+    terms = [(b"rare", 5.0), (b"common", 0.3), (b"absent", 9.0)]
+    for (term, weight), places in zip(terms, (np.sort(r.choice(n, 40, replace=False)), np.arange(n))):
+        c = r.randint(1, 5, len(places)).astype("<u4")
+        at = np.arange(0, len(places), 4)
+        rows.append((term, len(places), places.astype("<u2").tobytes(), c.tobytes(), np.maximum.reduceat(c, at).tobytes(), np.minimum.reduceat(size[places], at).astype("<u4").tobytes()))
+        truth[places] += weight * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * size[places] / size.mean()))
+    segment = bm25.Segment(rows, size.mean())
+    got = sorted(segment.best(terms, 5), key=lambda x: -x[1])[:5]
+    assert [i for i, _ in got] == np.argsort(-truth, kind="stable")[:5].tolist()
+    assert np.allclose([s for _, s in got], np.sort(truth)[::-1][:5])
+    assert segment.decoded < segment.asked / 2

@@ -3,9 +3,12 @@
 The index is a table: segments of at most SEGMENT documents, a row a term of a segment with its postings
 (document places and counts) in blocks of BLOCK, each block with its largest count and shortest document, which
 bound its scores whatever the corpus statistics turn out to be. Document counts and frequencies come from
-the whole index. A search reads only the rows of its terms, groups them by segment and, for each query,
-adds the block bounds of all its terms over the stretches between block ends: stretches are visited best bound
-first and the rest is skipped once the bound is below the k-th score. Segment results are merged by a window.
+the whole index. A search reads only the rows of its terms and groups them by segment. In a segment each query moves
+through the documents in order: the pivot is the next place whose current blocks' maxima add up to the k-th score so
+far, and every term's cursor goes to the block of the pivot, so the blocks passed over are not decoded. Terms too light
+to reach that score together lead to no pivot: only their blocks around documents of heavier terms are decoded. Places
+between two block ends share their current blocks and are taken together, several pivots at a time; the few with the
+largest sums go first, which gives a k-th score to begin with. Segment results are merged by a window.
 
 Defined cases: a null text has length 0 and matches nothing; a query without known terms has no rows; ties go to
 the smaller doc_id; rows that share a doc_id are ranked each; queries that share an id are one query of all their
@@ -27,6 +30,8 @@ from .common import cut, sliced, texts
 
 K1, B = 1.2, 0.75
 SEGMENT, BLOCK = 2048, 64
+#: Pivots taken at first; each further step takes twice as many.
+PRIME = 8
 #: Text of queries searched at a time; larger query sets go in several rounds.
 QUERY_BYTES = 4_000_000
 
@@ -78,58 +83,101 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "segment long, term binary, n long, places binary, counts binary, tops binary, shorts binary")
 
 
-def search_segment(queries: dict[int, list[tuple[bytes, float]]], rows: list[tuple], mean: float, k: int) -> list[tuple[int, int, float]]:
-    """(query, doc_id, score) of each query's k best of a segment. queries: (term, idf times its count)."""
-    head = next(r for r in rows if r[0] is None)
-    ids, size = np.frombuffer(head[2], "<i8"), np.frombuffer(head[3], "<i8").astype(float)
-    soft = K1 * (1 - B + B * size / max(mean, 1e-9))
-    lists = {}
-    for term, _, places, counts, tops, shorts in rows:
-        if term is not None:
-            p, c = np.frombuffer(places, "<u2").astype(np.int64), np.frombuffer(counts, "<u4").astype(float)
-            top, short = np.frombuffer(tops, "<u4").astype(float), np.frombuffer(shorts, "<u4").astype(float)
-            first = p[::BLOCK]
-            last = p[np.minimum(np.arange(len(first)) * BLOCK + BLOCK - 1, len(p) - 1)]
-            lists[term] = (p, c, first, last + 1, top * (K1 + 1) / (top + K1 * (1 - B + B * short / max(mean, 1e-9))))
-    out = []
-    for q, terms in queries.items():
-        have = [(lists[t], w) for t, w in terms if t in lists]
+class Segment:
+    """The asked terms' postings of a segment, behind each other, and the bounds of their blocks."""
+
+    def __init__(self, rows: list[tuple], mean: float):
+        head = next(r for r in rows if r[0] is None)
+        lists = [r for r in rows if r[0] is not None]
+        self.ids, size = np.frombuffer(head[2], "<i8"), np.frombuffer(head[3], "<i8").astype(float)
+        self.soft = K1 * (1 - B + B * size / max(mean, 1e-9))
+        self.number = {r[0]: i for i, r in enumerate(lists)}
+        self.places = np.frombuffer(b"".join(r[2] for r in lists), "<u2")
+        self.counts = np.frombuffer(b"".join(r[3] for r in lists), "<u4")
+        top, short = (np.frombuffer(b"".join(r[c] for r in lists), "<u4").astype(float) for c in (4, 5))
+        self.top = top * (K1 + 1) / (top + K1 * (1 - B + B * short / max(mean, 1e-9)))
+        n = np.array([r[1] for r in lists], np.int64)
+        blocks = -(-n // BLOCK)
+        self.first = np.concatenate([[0], np.cumsum(blocks)])
+        within = np.arange(blocks.sum()) - np.repeat(self.first[:-1], blocks)
+        self.begin = np.repeat(np.cumsum(n) - n, blocks) + within * BLOCK
+        self.stop = np.minimum(self.begin + BLOCK, np.repeat(np.cumsum(n), blocks))
+        self.low, self.high = self.places[self.begin].astype(np.int64), self.places[self.stop - 1].astype(np.int64) + 1
+        self.asked = self.decoded = 0
+
+    def best(self, terms: list[tuple[bytes, float]], k: int) -> list[tuple[int, float]]:
+        """(doc_id, score) of the k best and all that tie with the last of them."""
+        have = [(self.number[t], w) for t, w in terms if t in self.number]
         if not have:
-            continue
-        starts = np.concatenate([x[2] for x, _ in have])
-        ends = np.concatenate([x[3] for x, _ in have])
-        bounds = np.concatenate([x[4] * w for x, w in have])
-        edge, at = np.unique(np.concatenate([starts, ends]), return_inverse=True)
-        change = np.zeros(len(edge))
-        np.add.at(change, at[: len(starts)], bounds)
-        np.subtract.at(change, at[len(starts) :], bounds)
-        bound = np.cumsum(change)[:-1]
-        order = np.argsort(-bound, kind="stable")
-        score, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
-        limit, done, step = -np.inf, 0, 4
-        while done < len(order) and bound[order[done]] * (1 + 1e-9) + 1e-9 >= limit:
-            visit = order[done : done + step]
-            visit = visit[bound[visit] * (1 + 1e-9) + 1e-9 >= limit]
-            live = np.zeros(len(ids) + 1, np.int64)
-            np.add.at(live, edge[visit], 1)
-            np.subtract.at(live, edge[visit + 1], 1)
-            inside = np.cumsum(live)[:-1] > 0
-            for (p, c, *_), w in have:
-                m = inside[p]
-                d, f = p[m], c[m]
-                score[d] += w * (f * (K1 + 1) / (f + soft[d]))
-                seen[d] = True
-            done += step
-            step *= 2
-            found = score[seen]
-            if len(found) >= k:
-                limit = np.partition(found, len(found) - k)[len(found) - k]
+            return []
+        of = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i, _ in have])
+        sizes = np.array([self.first[i + 1] - self.first[i] for i, _ in have])
+        weight = np.repeat([w for _, w in have], sizes)
+        # Between two edges the same blocks are current for every document, so one sum of maxima bounds them all.
+        edge, at = np.unique(np.concatenate([self.low[of], self.high[of]]), return_inverse=True)
+        enter, leave = at[: len(of)], at[len(of) :]
+        gain = weight * self.top[of]
+        bound = np.cumsum(np.bincount(enter, gain, len(edge)) - np.bincount(leave, gain, len(edge)))[:-1] * (1 + 1e-9) + 1e-9
+        stretch = np.searchsorted(edge, np.arange(len(self.ids)), side="right") - 1
+        score, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        self.asked += len(of)
+        # What a term adds at most, together with all terms that add no more.
+        most = np.maximum.reduceat(gain, np.cumsum(sizes) - sizes)
+        reach = np.empty(len(most))
+        reach[np.argsort(most, kind="stable")] = np.cumsum(np.sort(most)) * (1 + 1e-9) + 1e-9
+
+        def decode(chosen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            """Adds the scores of the chosen blocks at the wanted documents, and gives those found."""
+            b = of[chosen]
+            self.decoded += len(b)
+            length = self.stop[b] - self.begin[b]
+            pos = np.repeat(self.begin[b] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            d = self.places[pos].astype(np.int64)
+            inside = wanted[d]
+            d, f = d[inside], self.counts[pos[inside]].astype(float)
+            part = np.repeat(weight[chosen], length)[inside] * (f * (K1 + 1) / (f + self.soft[d]))
+            score[:] += np.bincount(d, part, len(score))
+            return d
+
+        def visit(pivots: np.ndarray, limit: float) -> float:
+            """Scores the documents of the stretches that can reach the limit, and gives the k-th score."""
+            chosen = np.zeros(len(edge), bool)  # the last stands for all places outside
+            chosen[pivots] = True
+            before = np.concatenate([[0], np.cumsum(chosen)])
+            current = before[leave] > before[enter]
+            # Terms that cannot reach the limit together lead to no document of their own.
+            leads = np.repeat(reach >= limit, sizes)
+            found = np.zeros(len(self.ids), bool)
+            found[decode(current & leads, chosen[stretch])] = True
+            held = np.concatenate([[0], np.cumsum(found)])
+            decode(current & ~leads & (held[self.high[of]] > held[self.low[of]]), found)
+            seen[found] = True
+            bound[pivots] = np.nan  # not again
+            known = score[seen]
+            return np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else -np.inf
+
+        limit = visit(np.argsort(-bound, kind="stable")[:PRIME], -np.inf)
+        cursor, step = 0, PRIME
+        while True:
+            ahead = cursor + np.flatnonzero(bound[cursor:] >= limit)[:step]
+            if not len(ahead):
+                break
+            limit = visit(ahead, limit)
+            cursor, step = int(ahead[-1]) + 1, step * 2
         hit = np.flatnonzero(seen & (score >= limit))
-        hit = hit[np.lexsort((ids[hit], -score[hit]))]
-        # All that tie with the k-th stay: scores are equal only up to rounding.
-        edge_score = score[hit[min(k, len(hit)) - 1]] if len(hit) else 0
-        out += [(q, int(ids[i]), float(score[i])) for i in hit if score[i] >= edge_score - 1e-9]
-    return out
+        if not len(hit):
+            return []
+        # Scores are equal only up to rounding.
+        last = np.sort(score[hit])[::-1][min(k, len(hit)) - 1]
+        return [(int(self.ids[i]), float(score[i])) for i in np.flatnonzero(seen & (score >= last - 1e-9))]
+
+
+def search_segment(queries: dict[int, list[tuple[bytes, float]]], rows: list[tuple], mean: float, k: int) -> list[tuple[int, int, float]]:
+    """(query, doc_id, score) of each query's k best of a segment. queries: (term, idf times its count)."""
+    if len(rows) < 2:  # none of the terms
+        return []
+    segment = Segment(rows, mean)
+    return [(q, doc, score) for q, terms in queries.items() for doc, score in segment.best(terms, k)]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "item_id", text: str = "text") -> DataFrame:
