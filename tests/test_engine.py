@@ -186,3 +186,41 @@ def test_graph_search_with_a_condition_is_complete_and_ranges_are_exact(spark):
     near = {(r.query_id, r.id) for r in g.range_search(frame(spark, q), 0.1).collect()}
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d < 0.1))}
     assert near <= want and len(near) >= 0.9 * len(want)
+
+
+def test_argsort_splits_common_values(spark):
+    """A value that most rows share spans ranges; null comes first."""
+    vals = [(i, None if i % 50 == 0 else 7.0 if i % 3 else float(i % 11)) for i in range(900)]
+    rows = spark.createDataFrame(vals, "id long, v double").repartition(5)
+    got = topk.argsort(rows, "v").orderBy("place").collect()
+    want = sorted(vals, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert [(r.place, r.id) for r in got] == [(p, i) for p, (i, _) in enumerate(want)]
+    parts = rows.groupBy(topk.range_of(rows, ["v", "id"]).alias("p")).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 600
+    assert topk.argsort(rows.where("id < 0"), "v").count() == 0
+    assert [r.place for r in topk.argsort(rows.where("id = 3"), "v").collect()] == [0]
+
+
+def test_range_of_in_two_steps(spark):
+    rows = spark.range(3000).selectExpr("id", "cast(id * 7919 % 1000 as double) v")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        parts = rows.select("v", "id", topk.range_of(rows, ["v", "id"]).alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = [r.p for r in sorted(parts)]
+    assert order == sorted(order) and set(order) == set(range(30))
+
+
+def test_flat1d_against_brute_force(spark):
+    """Ties on both sides, many rows of one number, more neighbours asked than there are, and empty sides."""
+    r = np.random.RandomState(5)
+    base = [(i, float(x)) for i, x in enumerate(np.concatenate([r.randint(0, 40, 300), np.full(200, 17.0)]))] + [(900, None), (901, float("nan"))]
+    asked = [(i, float(x)) for i, x in enumerate(r.randint(-5, 50, 60))] + [(70, 17.0), (71, 17.5), (72, None)]
+    b, q = spark.createDataFrame(base, "id long, x double"), spark.createDataFrame(asked, "id long, x double")
+    for k, most in ((6, 10**9), (8, 4)):
+        held = [(i, x) for i, x in base if x is not None and x == x and i < most]
+        want = {(qi, n + 1, i, d) for qi, y in asked if y is not None for n, (d, i) in enumerate(sorted((abs(x - y), i) for i, x in held)[:k])}
+        assert {tuple(r) for r in exact.flat1d(q, b.where(f"id < {most}"), k).collect()} == want
+    assert exact.flat1d(q, b.where("id < 0"), 3).count() == 0 and exact.flat1d(q.where("id < 0"), b, 3).count() == 0

@@ -187,44 +187,22 @@ def rerank(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, m
 
 
 def flat1d(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """k nearest numbers by absolute difference: (id, x) against (id, x).
+    """k nearest numbers by absolute difference: (id, x) against (id, x); null and NaN are left out.
 
-    Blocks of both sides are paired; within a pair each query looks left and right of its place in the
-    sorted block, and only its k best leave.
+    The distinct numbers of base are numbered in order, by range, together with the queries; a query then meets the k
+    numbers on each side of it by their places, and the k smallest ids of each number.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qi, qx, bi, bx in zip(*(c.to_pylist() for c in b.columns)):
-                qi, qx, bi, bx = np.frombuffer(qi, np.int64), np.frombuffer(qx), np.frombuffer(bi, np.int64), np.frombuffer(bx)
-                order = np.lexsort((bi, bx))
-                bi, bx = bi[order], bx[order]
-                rows: list[tuple] = []
-                for q, x in zip(qi.tolist(), qx.tolist()):
-                    at = int(np.searchsorted(bx, x))
-                    low, high = max(0, at - k), min(len(bx), at + k)
-                    d = np.abs(bx[low:high] - x)
-                    if len(d):  # ties at the edge
-                        low = int(np.searchsorted(bx, x - np.sort(d)[min(k, len(d)) - 1]))
-                        high = int(np.searchsorted(bx, x + np.sort(d)[min(k, len(d)) - 1], side="right"))
-                        d = np.abs(bx[low:high] - x)
-                        best = np.lexsort((bi[low:high], d))[:k]
-                        rows += [(q, int(bi[low + j]), float(d[j])) for j in best]
-                cols = list(zip(*rows)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "distance"])
-
-    def pack(prefix: str, rows: int):
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    p = b.slice(at, rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()]) for c in p.columns], names=[f"{prefix}_i", f"{prefix}_x"])
-
-        return go
-
-    two = lambda df: df.select(F.col("id").cast("long"), F.col("x").cast("double")).where("x is not null and not isnan(x)")
-    pairs = two(queries).mapInArrow(pack("q", 4096), "q_i binary, q_x binary").crossJoin(two(base).mapInArrow(pack("b", 10_000), "b_i binary, b_x binary"))
-    return top_k(pairs.mapInArrow(run, "query_id long, id long, distance double"), k)
+    from .topk import running
+
+    two = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x")).where("x is not null and not isnan(x)")
+    asked, held = two(queries), two(base)
+    held = held.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    line = held.select("x", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id")).distinct().unionByName(asked.select("x", F.lit(1).alias("kind"), "id"))
+    line = running(line, ["x", "kind", "id"], F.col("kind") == 0)
+    numbers = line.where("kind = 0").select(F.col("before").alias("place"), "x")
+    near = line.where("kind = 1").select(F.col("id").alias("query_id"), F.col("x").alias("y"), F.explode(F.sequence(F.col("before") - k, F.col("before") + (k - 1))).alias("place"))
+    found = near.join(numbers, "place").join(held, "x")
+    return top_k(found.select("query_id", "id", F.abs(F.col("x") - F.col("y")).alias("distance")), k)
 
 
 def with_id_map(result: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact import top_k
@@ -40,28 +42,60 @@ def per_line_extrema(result: DataFrame, larger: bool = False) -> DataFrame:
     return x.select("query_id", "x.id", "x.distance")
 
 
-def argsort(rows: DataFrame, value: str, id_col: str = "id") -> DataFrame:
-    """(place, id): the ascending order of the values, ties by id; ranges are sorted apart and then numbered.
+#: Rows a range that are sampled to place the ranges' bounds; only balance depends on it.
+SAMPLE = 32
+
 
-    The rows are dealt by range of the value; each range's count fixes where its numbers start, so no task
-    sees more than its range.
+def range_of(rows: DataFrame, order: list[str]) -> Column:
+    """The range, from 0, that a row's `order` columns lie in; null comes first.
+
+    The bounds are rows of the table, so a common value is split by the later columns. They are the same each time:
+    a sample by hash, of SAMPLE rows a shuffle partition. A row is compared with the bounds in two steps of about the
+    square root of their number.
     """
-    dealt = rows.select(F.col(id_col).alias("id"), F.col(value).alias("value"))
-    w = Window.partitionBy("part").orderBy("value", "id")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = dealt.agg(F.percentile_approx("value", [i / n for i in range(1, n)]).alias("b")).first().b if n > 1 else []
-    cuts = sorted(set(bounds or []))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("value") > F.lit(c)).cast("int")
-    dealt = dealt.withColumn("part", part)
-    starts = dealt.groupBy("part").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = dealt.withColumn("n", F.row_number().over(w)).join(F.broadcast(starts.select("part", "start")), "part")
-    return numbered.select((F.col("start") + F.col("n") - 1).cast("long").alias("place"), "id")
+    key = F.struct(*order)
+    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE * n)
+    got = sample.orderBy(*order).collect()
+    types = [rows.schema[c].dataType for c in order]
+    picked = [got[i * len(got) // n] for i in range(1, n)] if len(got) > 1 else []
+    if not picked:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(picked)))
+    array = lambda rs: F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, types, order)]) for r in rs])
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < key))
+    coarse = below(array(picked[step - 1 :: step])) * step
+    return coarse + below(F.slice(array(picked), coarse + 1, F.lit(step)))
+
+
+def running(rows: DataFrame, order: list[str], weight: Column) -> DataFrame:
+    """rows and `before`, the sum of the weights of all rows before each in the order; no task sees more than a range."""
+    dealt = rows.withColumn("_weight", weight.cast("long")).withColumn("_part", range_of(rows, order))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.sum("_weight").alias("n"))  # one row a range
+    starts = starts.select("_part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_start"))
+    inner = F.coalesce(F.sum("_weight").over(earlier(Window.partitionBy("_part").orderBy(*order))), F.lit(0))
+    numbered = dealt.withColumn("_inner", inner).join(F.broadcast(starts), "_part")
+    return numbered.select(*rows.columns, (F.col("_start") + F.col("_inner")).alias("before"))
+
+
+def argsort(rows: DataFrame, value: str, id_col: str = "id") -> DataFrame:
+    """(place, id): the ascending order of the values, null first, ties by id; ranges are sorted apart and then numbered."""
+    pairs = rows.select(F.col(value).alias("value"), F.col(id_col).alias("id"))
+    return running(pairs, ["value", "id"], F.lit(1)).select(F.col("before").alias("place"), "id")
+
+
+def bucket_order(rows: DataFrame, bucket: str, id_col: str = "id") -> DataFrame:
+    """(place, bucket, id): bucket_sort as rows, for buckets of any size; a bucket's place starts at its `lim`."""
+    pairs = rows.select(F.col(bucket).cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"))
+    return running(pairs, ["bucket", "id"], F.lit(1)).select(F.col("before").alias("place"), "bucket", "id")
 
 
 def bucket_sort(rows: DataFrame, bucket: str, n_buckets: int, id_col: str = "id") -> DataFrame:
-    """(bucket, lim, ids): ids of each bucket in order, and how many lie in the buckets before it."""
+    """(bucket, lim, ids): ids of each bucket in order, and how many lie in the buckets before it.
+
+    A bucket is one array; bucket_order gives the same order as rows where buckets are large.
+    """
     if rows.where((F.col(bucket) < 0) | (F.col(bucket) >= n_buckets)).limit(1).count():
         raise ValueError(f"bucket values must be in [0, {n_buckets})")
     spark = rows.sparkSession

@@ -376,6 +376,11 @@ def bucket_sort(spark, sf_dir):
     return topk.bucket_sort(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "label", 12)
 
 
+@query("bucket_order", "SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS place, label::bigint AS bucket, vec_id AS id FROM embeddings")
+def bucket_order(spark, sf_dir):
+    return topk.bucket_order(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "label")
+
+
 @query("matrix_bucket_sort", "SELECT b AS bucket, coalesce(sum(len(ids)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS lim, ids FROM (SELECT r.b, coalesce(ids, []::bigint[]) AS ids FROM range(8) r(b) LEFT JOIN (SELECT b, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT vec_id, unnest([vec_id % 8, (vec_id * 3) % 8, label % 8]) AS b FROM embeddings) GROUP BY b) g ON r.b = g.b)")
 def matrix_bucket_sort(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr("array(vec_id % 8, (vec_id * 3) % 8, cast(label % 8 as bigint))").alias("vec"))
