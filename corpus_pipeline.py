@@ -32,9 +32,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies stays, the one with the smallest doc_id.
 
     Rows are judged by a number of their own in order of doc_id, null last: rows that share an id or have none are
-    judged each.
+    judged each, in order of a hash of their texts, as the bounds of the order are sampled to the driver.
     """
-    rows = cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = cut(docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     free_shuffles(spark)
     ids = minhash.near_duplicates(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
     return rows.join(ids, "_row", "left_semi").select(*docs.columns)
