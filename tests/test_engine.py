@@ -263,3 +263,16 @@ def test_ip_to_l2_in_blocks_keeps_every_pair(spark):
     assert got.keys() == want.keys() and len(got) == 11 * 15
     for k, d in want.items():
         assert got[k] is None if d is None else got[k] == pytest.approx(d, abs=1e-9, nan_ok=True)
+
+
+def test_graph_shards_are_bounded(spark, monkeypatch):
+    """A shard's rows are bounded, however few shards are asked, and graphs of common vectors are found whole."""
+    monkeypatch.setattr(graph, "SHARD_ROWS", 250)
+    x = uniform(900, 8, 3)
+    x[100:140] = x[0]
+    g = graph.GraphIndex(m=8, shards=1).add(frame(spark, x))
+    g.nodes = g.nodes.persist()
+    assert g.nodes.groupBy("shard").count().agg(F.max("count")).first()[0] < 330 and g.nodes.count() == 900
+    hits = g.search(frame(spark, x[:30]), 10, 32).collect()
+    d = np.sort(((x[:30, None] - x[None]) ** 2).sum(2), 1)[:, 9]
+    assert np.mean([r.distance <= d[r.query_id] + 1e-9 for r in hits]) >= 0.9 and len(hits) == 300
