@@ -23,9 +23,9 @@ LEVEL_SEED = 12345
 
 
 #: Rows of a shard at most, so that its graph is built and searched in one task's memory; nodes handled at a time.
-SHARD_ROWS, PART = 16_384, 512
-#: Nodes that a search opens at a time, and candidates of a node's links for each link it may have.
-OPENED, OFFERED = 4, 3
+SHARD_ROWS, PART = 8_192, 512
+#: Nodes that a search begins at, and opens at a time, and candidates of a node's links for each link it may have.
+STARTS, OPENED, OFFERED = 8, 4, 3
 
 
 def _gaps(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -87,7 +87,24 @@ class Graph:
             p = at[a : a + PART]
             got = self._spread(x, p, scores[a : a + PART], p >= 0, width)[0]
             out[on[a : a + PART]] = np.where(got >= 0, on[got], -1)
-        return out
+        return self._joined(out, ahead[:, 0]) if level == 0 else out
+
+    def _joined(self, out: np.ndarray, nearest: np.ndarray) -> np.ndarray:
+        """Lowest links by which every node is reached: a node that is not gets a link from its nearest one before it."""
+        reached, edge = np.zeros(len(out), bool), np.array([self.entry])
+        while len(edge):
+            reached[edge] = True
+            edge = np.unique(out[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~reached[edge]]
+        lost = np.flatnonzero(~reached)
+        source = np.where(nearest[lost] >= 0, nearest[lost], self.entry)
+        order = np.argsort(source, kind="stable")
+        lost, source = lost[order], source[order]
+        place = np.arange(len(lost)) - np.searchsorted(source, source)
+        more = np.full((len(out), int(place.max()) + 1 if len(lost) else 0), -1, np.int64)
+        more[source, place] = lost
+        return np.concatenate([out, more], 1)
 
     @staticmethod
     def _sorted(at: np.ndarray, s: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,21 +148,15 @@ class Graph:
     def search_all(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, nodes) of every row of q, best first, infinity where there is none; all rows go in lockstep."""
         n, ef = len(q), max(ef, k)
-        at = np.full(n, self.entry)
-        best = _gaps(self.metric, q, self.x[at][:, None])[:, 0]
-        for level in range(self.top, 0, -1):
-            live = np.arange(n)
-            while len(live):
-                near = self.near[level][at[live]]
-                d = np.where(near >= 0, _gaps(self.metric, q[live], self.x[np.maximum(near, 0)]), np.inf)
-                c = d.argmin(1)
-                d, node = d[np.arange(len(live)), c], near[np.arange(len(live)), c]
-                better = d < best[live]
-                live = live[better]
-                at[live], best[live] = node[better], d[better]
         node, score = np.full((n, ef), -1, np.int64), np.full((n, ef), np.inf)
         opened, seen = np.zeros((n, ef), bool), np.zeros((n, len(self.x)), bool)
-        node[:, 0], score[:, 0], seen[np.arange(n), at] = at, best, True
+        # A shard's rows are bounded, and so are those above the lowest level: all are scored, and the best begin the beam.
+        upper = np.flatnonzero(self.levels > 0) if self.top else np.array([self.entry])
+        d = block_distances(self.metric, q, self.x[upper])
+        d = np.where(np.isnan(d), np.inf, -d if self.metric.larger_is_better else d)
+        begin = np.argsort(d, axis=1, kind="stable")[:, : min(STARTS, ef)]
+        node[:, : begin.shape[1]], score[:, : begin.shape[1]] = upper[begin], np.take_along_axis(d, begin, 1)
+        np.put_along_axis(seen, upper[begin], True, 1)
         live = np.arange(n)
         while len(live):
             # The nearest that are not opened yet, of a beam in order.
