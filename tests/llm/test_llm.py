@@ -544,6 +544,57 @@ def test_samples_follow_the_lattice():
         assert abs(pairs[a, b] / n - want) < 5 * math.sqrt(want / n) + 1e-3
 
 
+def test_lattice_units_end_where_no_piece_crosses(monkeypatch):
+    lat = segmentation.Lattices(public_path("piece_bpe_32k.model"), 0.2)
+    # "▁the" once and three marks, not three words; the store's node 0 is the end.
+    first, counts = lat.units([b"the,", b"the! the;", b""])
+    assert counts.tolist() == [2, 4, 0] and first[0] == first[2] == first[4] and lat.nodes == 1 + 4 + 3
+
+    def mass(text):
+        m = [0.0] * (len(text) + 1)
+        for i in range(len(text) - 1, -1, -1):
+            scores = [lat.pieces[text[i:j]][1] + m[j] for j in range(i + 1, min(len(text), i + 16) + 1) if text[i:j] in lat.pieces]
+            if text[i] not in lat.pieces:
+                scores.append(lat.byte_weight * len(text[i].encode()) + m[i + 1])
+            m[i] = max(scores) + math.log(sum(math.exp(x - max(scores)) for x in scores))
+        return m[0]
+
+    texts = ["the, quick!! Brown  fox\n(naïve) 漢字 \U0001f600\u0007x", "a", "", "ab" * 400, " ", "x" * 70_000]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    got = segmentation.sample(lat, [t.encode() for t in texts], keys, 4)
+    for t, s in zip(texts, got):
+        assert len({ids.tobytes() for ids, *_ in s}) == len(s) and [x[2] for x in s] == sorted((x[2] for x in s), reverse=True)
+        for ids, prob, _, inclusion in s:
+            assert segmentation.decode(ids) == t and (0 < inclusion <= 1 or prob < -700)
+            if 0 < len(t) < 1000 and all(c == "\n" or c >= " " for c in t) and max(t) < "\u2581":
+                want = sum(float(lat.weight[i]) if lat.weight[i] else lat.byte_weight for i in ids.tolist())
+                assert prob == pytest.approx(want - mass(segmentation.SPACE + t.replace(" ", segmentation.SPACE)), abs=1e-6)
+    # All of a short text's segmentations, each once, with no value left over.
+    every = segmentation.sample(lat, [b"in"], keys[:1], 50)[0]
+    assert len(every) < 50 and sum(math.exp(x[1]) for x in every) == pytest.approx(1) and every[-1][3] == 1
+    # Steps that are not asked for regions change nothing.
+    for front, near in ((1, 0.5), (10**6, 1e9)):
+        monkeypatch.setattr(segmentation, "FRONT", front)
+        monkeypatch.setattr(segmentation, "NEAR", near)
+        again = segmentation.sample(lat, [t.encode() for t in texts[:5]], keys[:5], 4)
+        assert [[(i.tolist(), *x) for i, *x in s] for s in again] == [[(i.tolist(), *x) for i, *x in s] for s in got[:5]]
+
+
+def test_later_samples_follow_the_lattice_too():
+    lat = segmentation.Lattices(public_path("piece_bpe_32k.model"), 0.2)
+    n = 20_000
+    got = segmentation.sample(lat, [b"in,"] * n, np.arange(n, dtype=np.uint64) * 7919 + 1, 3)
+    p = {ids.tobytes(): math.exp(prob) for g in got for ids, prob, _, _ in g}
+    triples = Counter(tuple(x[0].tobytes() for x in g) for g in got)
+    for t in itertools.permutations(p, 3):
+        want = p[t[0]] * p[t[1]] / (1 - p[t[0]]) * p[t[2]] / (1 - p[t[0]] - p[t[1]])
+        assert abs(triples[t] / n - want) < 5 * math.sqrt(want / n) + 1e-3
+    top = np.array([g[0][2] for g in got])  # standard Gumbel
+    assert abs(top.mean() - 0.5772) < 0.05 and abs(top.std() - math.pi / math.sqrt(6)) < 0.05
+    for s in sorted(p, key=p.get)[-3:]:
+        assert sum(1 / q for g in got for ids, _, _, q in g if ids.tobytes() == s) / n == pytest.approx(1, abs=0.1)
+
+
 # --- queries and pipeline -----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op7_bm25_topk", "op8_quality_rules", "op10_fm_substring_dedup"])
 def test_query_matches_sql(spark, name):

@@ -1,11 +1,12 @@
 """Distinct sampled segmentations of whole texts: Gumbel top-k without replacement over the piece lattice.
 
-A text's lattice falls into units at its spaces (no piece crosses one). A worker compiles each distinct unit (told apart by
-the 64-bit hash of its bytes) once into a bounded store, with the exact log-mass of every suffix, so each edge has its
-conditional probability. Sampling is a perturbed
-best-first (A*) search whose bound at a node is the node's perturbed log-probability, the exact maximum over its
-completions: the first segmentation follows the best child everywhere; the next starts at the best child that was
-passed by, and so on. All texts of a batch take their steps together.
+A text's lattice falls into units wherever no piece holds the two characters side by side, so at its spaces and at most
+marks. A worker compiles each distinct unit (told apart by the 64-bit hash of its characters) once into a bounded store,
+with the exact log-mass of every suffix, so each edge has its conditional probability. Sampling is a perturbed best-first
+(A*) search over regions of the lattice. A region's bound is its perturbed log-probability, the exact maximum over its
+segmentations, drawn from the top down: the best segmentation of a region takes each child by its probability, and the
+children that it passed by at one step are a region of their own, whose bound is a Gumbel variate of their log-mass below
+the parent's. The next segmentation is the best of the best region. All texts of a batch take their steps together.
 
 Piece weights follow a Zipf law over the vocabulary's merge order, as its own scores are ranks; a character
 without a piece is spelt in bytes. Randomness comes from the row key alone, so a row gives the same samples in any
@@ -19,6 +20,7 @@ ignored. The vocabulary's own normalisation applies: U+2581 decodes to a space.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from .common import mix64, sliced, span_hashes, texts
 from .tokens import Known, public_path
 
 SPACE = "▁"
-_SPACE = SPACE.encode()
 SAMPLES, ALPHA = 2, 1.0
 #: Characters compiled at a time (a longer unit is compiled alone), and nodes held at most between two batches.
 PART, NODES = 24_000, 3_000_000
+#: Steps of a path and log-probability at first asked for regions, and what no Gumbel variate of 53 bits reaches.
+FRONT, NEAR, NOISE = 384, 6.0, 37.0
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattices:
@@ -53,102 +57,98 @@ class Lattices:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.weight[i] = -alpha * math.log(i + 1)
                 self.pieces[self.model.id_to_piece(i)] = (i, float(self.weight[i]))
-        self.longest = max(map(len, self.pieces))
         self.byte_weight = -alpha * math.log(n)
-        # Hash tables of the pieces: those that find their slot taken go to the next, smaller table.
-        h = np.array([self._hash_one(p) for p in self.pieces], np.uint64)
-        ids = np.array([i for i, _ in self.pieces.values()], np.int32)
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
-        bits = 19
-        while len(h):
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            first = np.unique(slot, return_index=True)[1]
-            keys, value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-            keys[slot[first]], value[slot[first]] = h[first], ids[first]
-            self.tables.append((keys, value, np.uint64(64 - bits)))
-            left = np.ones(len(h), bool)
-            left[first] = False
-            h, ids, bits = mix64(h[left]), ids[left], max(bits - 5, 10)
+        self._index()
         self.clear()
 
-    @staticmethod
-    def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
-
-    def _hash_one(self, piece: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for ch in piece:
-            h = self._roll(h, np.array([ord(ch)], np.uint64))
-        return int(mix64(h)[0])
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        for keys, value, shift in self.tables:
-            slot = h >> shift
-            hit = np.flatnonzero(keys[slot] == h)
-            out[hit] = value[slot[hit]]
-            h = mix64(h)
-        return out
+    def _index(self) -> None:
+        """The pieces as a double array: a prefix is a slot, its child by a character the slot at base + class, whose
+        `parent` it is. Also the pairs of characters that lie side by side in a piece."""
+        below: dict[str, set[str]] = {}
+        for p in self.pieces:
+            for i in range(1, len(p)):
+                below.setdefault(p[:i], set()).add(p[i])
+        inner = sorted({c for p in self.pieces if len(p) > 1 for c in p})
+        kinds = len(inner) + 1  # class 0: in no piece of several characters
+        self.kind, self.first = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in inner]] = np.arange(1, kinds)
+        side = np.zeros((kinds, kinds), bool)
+        for p in self.pieces:
+            k = self.kind[[ord(c) for c in p]]
+            side[k[:-1], k[1:]] = True
+        self.kinds, self.side = kinds, side.ravel()
+        heads = {p[0] for p in self.pieces}
+        size = 1 << (2 * sum(map(len, below.values())) + len(heads) + kinds).bit_length()
+        parent = [-1] * (size + kinds)
+        rng, slot, base = random.Random(1), {}, {}
+        for i, c in enumerate(sorted(heads), kinds):  # slots below are no child's: base 0 leads nowhere
+            parent[i], slot[c], self.first[ord(c)] = 0, i, i
+        for prefix in sorted(below, key=lambda p: (len(p), p)):
+            ks = [(int(self.kind[ord(c)]), c) for c in below[prefix]]
+            b = rng.randrange(kinds, size)
+            while any(parent[b + k] >= 0 for k, _ in ks):
+                b = rng.randrange(kinds, size)
+            base[slot[prefix]] = b
+            for k, c in ks:
+                parent[b + k], slot[prefix + c] = slot[prefix], b + k
+        self.parent, self.base, self.value = np.array(parent, np.int32), np.zeros(len(parent), np.int32), np.full(len(parent), -1, np.int32)
+        self.base[list(base)] = list(base.values())
+        self.value[[slot[p] for p in self.pieces]] = [i for i, _ in self.pieces.values()]
 
     def clear(self) -> None:
-        """Forgets all units. Node 0 is every unit's end."""
+        """Forgets all units. Node 0 is every unit's end; a node's edges lie between its start and the next node's."""
         self.known = (Known(), Known())
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.to, self.piece, self.p = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), np.zeros(1 << 17)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.to, self.piece, self.logp, self.upto = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), np.zeros(1 << 17), np.zeros(1 << 17)
         self.nodes, self.edges = 1, 0
 
-    def add(self, units: list[str]) -> np.ndarray:
-        """First node of each new unit."""
-        out, at = [], 0
-        while at < len(units):
+    def add(self, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """First node of each new unit; the units' characters lie end to end."""
+        out, ends, at = [], np.cumsum(size), 0
+        while at < len(size):
             # In parts whose tables fit in the processor's cache.
-            end, chars = at, 0
-            while end < len(units) and (end == at or chars + len(units[end]) <= PART):
-                chars += len(units[end])
-                end += 1
-            size, counts, step, piece, lp = self._compile(units[at:end])
-            n, m = len(counts), len(step)
-            for name, used, more in (("start", self.nodes, n), ("count", self.nodes, n), ("to", self.edges, m), ("piece", self.edges, m), ("p", self.edges, m)):
+            begin = int(ends[at] - size[at])
+            stop = max(at + 1, int(np.searchsorted(ends, begin + PART, "right")))
+            first, counts, to, piece, logp, upto = self._compile(chars[begin : int(ends[stop - 1])], size[at:stop])
+            n, m = len(counts), len(to)
+            for name, used, more in (("start", self.nodes, n + 1), *((x, self.edges, m) for x in ("to", "piece", "logp", "upto"))):
                 old = getattr(self, name)
                 if used + more > len(old):
                     new = np.zeros(max(used + more, len(old) * 3 // 2), old.dtype)
                     new[:used] = old[:used]
                     setattr(self, name, new)
-            first = self.nodes + np.cumsum(size) - size
-            node = np.repeat(np.arange(self.nodes, self.nodes + n), counts)
-            to = node + step
-            self.to[self.edges : self.edges + m] = np.where(to == np.repeat(np.repeat(first + size, size), counts), 0, to)
-            self.piece[self.edges : self.edges + m], self.p[self.edges : self.edges + m] = piece, np.exp(lp)
-            self.start[self.nodes : self.nodes + n], self.count[self.nodes : self.nodes + n] = self.edges + np.cumsum(counts) - counts, counts
-            self.nodes, self.edges = self.nodes + n, self.edges + m
-            out.append(first)
-            at = end
+            a, b = self.edges, self.edges + m
+            self.to[a:b], self.piece[a:b], self.logp[a:b], self.upto[a:b] = np.where(to < n, to + self.nodes, 0), piece, logp, upto
+            self.start[self.nodes : self.nodes + n + 1] = a + np.concatenate([[0], np.cumsum(counts)])
+            out.append(first + self.nodes)
+            self.nodes, self.edges, at = self.nodes + n, b, stop
         return np.concatenate(out)
 
     def units(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """First node of each unit of the texts, end to end, and the number of each text's units."""
         if self.nodes > NODES:
             self.clear()
-        # A unit is a run of spaces and the characters up to the next.
-        parts = [b" " + t.replace(_SPACE, b" ") if t else t for t in batch]
-        text = b"".join(parts)
-        data, ends = np.frombuffer(text, np.uint8), np.cumsum([len(t) for t in parts], dtype=np.int64)
+        parts = [SPACE + t.decode() if t else "" for t in batch]
+        chars = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).copy()
+        chars[chars == 32] = ord(SPACE)
+        ends = np.cumsum([len(t) for t in parts], dtype=np.int64)
         begins = ends - [len(t) for t in parts]
-        here = data == 32
-        here[1:] &= data[:-1] != 32
+        kind = self.kind[chars]
+        here = np.ones(len(chars), bool)
+        here[1:] = ~self.side[kind[:-1] * self.kinds + kind[1:]]
         here[begins[ends > begins]] = True
         start = np.flatnonzero(here)
-        size = np.diff(np.append(start, len(data)))
-        names, first, which = np.unique(span_hashes(data, start, size), return_index=True, return_inverse=True)
+        size = np.diff(np.append(start, len(chars)))
+        names, first, which = np.unique(span_hashes(chars, start, size), return_index=True, return_inverse=True)
         node = np.zeros(len(names), np.int64)
         for known in self.known:
             i = known.find(names)
             node[i >= 0] = known.at[i[i >= 0]]
         fresh = np.flatnonzero(node == 0)
         if len(fresh):
-            a = start[first[fresh]]
-            node[fresh] = self.add([text[x:y].decode().replace(" ", SPACE) for x, y in zip(a.tolist(), (a + size[first[fresh]]).tolist())])
+            a, n = start[first[fresh]], size[first[fresh]]
+            done = np.cumsum(n)
+            node[fresh] = self.add(chars[np.arange(int(done[-1])) + np.repeat(a - (done - n), n)], n)
             old, new = self.known
             new.add(names[fresh], node[fresh], node[fresh])
             if len(new.keys) > 1 << 16:
@@ -157,46 +157,66 @@ class Lattices:
         upto = np.searchsorted(start, ends)
         return node[which], np.diff(upto, prepend=0)
 
-    def _compile(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """Nodes are the characters of the units, end to end: length of each unit, children a node, and by child the
-        step, the piece (or minus the code point) and the conditional log-probability."""
-        size = np.array([len(u) for u in units], np.int64)
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.uint64)
+    def _compile(self, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The node of each unit's first character; children a node; and by child the node it leads to (their number: the
+        end), the piece (or minus the code point), the conditional log-probability and the probability up to it.
+
+        Nodes are the characters in order of their distance to the unit's end.
+        """
         n = len(chars)
         left = np.repeat(np.cumsum(size), size) - np.arange(n)  # characters from here to the unit's end
-        wide = self.longest
-        score = np.full((n, wide), -np.inf)
-        piece = np.zeros((n, wide), np.int32)
-        h = np.zeros(n, np.uint64)
-        at = np.arange(n)
-        for length in range(1, wide + 1):
-            at = at[left[at] >= length]
-            h[at] = self._roll(h[at], chars[at + length - 1])
-            found = self._find(mix64(h[at]))
-            ok = found >= 0
-            piece[at[ok], length - 1] = found[ok]
-            score[at[ok], length - 1] = self.weight[found[ok]]
-        bare = np.flatnonzero(np.isinf(score[:, 0]))
+        state, at, length = self.first[chars], np.arange(n), 1
+        piece = self.value[state]
+        bare = np.flatnonzero(piece < 0)
         code = chars[bare].astype(np.int64)
+        score = self.weight[piece]
         # A character of one byte is that byte's piece; longer ones are spelt when the ids are written.
-        piece[bare, 0] = np.where(code < 128, self.bytes[np.minimum(code, 127)].astype(np.int64), -code)
-        score[bare, 0] = self.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-        # Log-mass of every suffix, from the ends; units of a length go together.
+        piece[bare] = np.where(code < 128, self.bytes[np.minimum(code, 127)].astype(np.int64), -code)
+        score[bare] = self.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        found, counts = [(at, piece, score)], np.ones(n, np.int64)
+        while True:
+            go = np.flatnonzero((self.base[state] > 0) & (left[at] > length))
+            if not len(go):
+                break
+            at, old = at[go], state[go]
+            state = self.base[old] + self.kind[chars[at + length]]
+            go = np.flatnonzero(self.parent[state] == old)
+            at, state, length = at[go], state[go], length + 1
+            piece = self.value[state]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], piece[hit], self.weight[piece[hit]]))
+            counts[at[hit]] += 1
+        few = left.astype(np.uint16) if n and left.max() < 1 << 16 else left
+        order = np.argsort(few, kind="stable")
+        place = np.empty(n + 1, np.int64)
+        place[order], place[n] = np.arange(n), n
+        counts = counts[order]
+        start = np.cumsum(counts) - counts
+        fill, m = start[place[:n]], int(counts.sum())
+        to, pieces, logp = np.empty(m, np.int64), np.empty(m, np.int32), np.empty(m)
+        for length in range(len(found), 0, -1):  # the longest piece first
+            at, piece, score = found[length - 1]
+            i = fill[at]
+            fill[at] += 1
+            to[i], pieces[i], logp[i] = place[np.where(left[at] == length, n, at + length)], piece, score
+        # Log-mass of every suffix, from the ends; characters as far from them go together.
         mass = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        edges = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2)) if n else np.zeros(1, int)
-        for r in range(1, len(edges)):
-            i = order[edges[r - 1] : edges[r]]
-            most = min(r, wide)
-            s = score[i, :most]
-            for length in range(1, min(most, r - 1) + 1):
-                s[:, length - 1] += mass[i + length]
-            top = s.max(1)
-            total = top + np.log(np.exp(s - top[:, None]).sum(1))
-            mass[i] = total
-            score[i, :most] = s - total[:, None]
-        node, step = np.nonzero(~np.isinf(score))
-        return size, np.bincount(node, minlength=n), step + 1, piece[node, step], score[node, step]
+        edges = np.append(start, m)
+        groups = np.flatnonzero(np.diff(left[order], prepend=0)).tolist() + [n]
+        for a, b in zip(groups, groups[1:]):
+            x, y = int(edges[a]), int(edges[b])
+            s, begin = logp[x:y] + mass[to[x:y]], start[a:b] - x
+            top = np.maximum.reduceat(s, begin)
+            total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, counts[a:b])), begin))
+            mass[a:b] = total
+            logp[x:y] = s - np.repeat(total, counts[a:b])
+        upto = np.exp(logp)
+        i, step = start[counts > 1] + 1, counts[counts > 1]
+        for r in range(2, int(counts.max()) + 1 if n else 0):
+            upto[i] += upto[i - 1]
+            i, step = i[step > r] + 1, step[step > r]
+        upto[start + counts - 1] = 2.0  # the last child takes what is left
+        return place[np.cumsum(size) - size], counts, to, pieces, logp, upto
 
     def ids(self, pieces: np.ndarray) -> np.ndarray:
         if not len(pieces) or pieces.min() >= 0:
@@ -228,67 +248,71 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((mix64(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _descend(lat: Lattices, node: np.ndarray, doc: np.ndarray, key: np.ndarray, phi0: np.ndarray, top: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
-    """Follows the best child from each lane's node. Lanes are in text order; phi0 and top are by text.
-
-    The largest Gumbel-perturbed log-probability belongs to the least exponential variate over its probability.
-    Gives, in path order: text, edge and prefix log-probability of each step; and the `keep` best passed-by
-    children a step: step, edge, perturbed value.
-    """
-    n = len(node)
-    node, total, length, steps = node.copy(), np.zeros(n), np.zeros(n, np.int64), []
-    live, t = np.arange(n), 0
+def _descend(lat: Lattices, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Takes children by their probability from each lane's node to its end: the edges, lane by lane, and their numbers."""
+    length, steps = np.zeros(len(node), np.int64), []
+    live, t = np.arange(len(node)), 0
     while len(live):
-        at = node[live]
-        first, count = lat.start[at], lat.count[at]
-        # All children of all live nodes, end to end.
-        ends = np.cumsum(count)
-        begin = ends - count
-        lane = np.repeat(np.arange(len(live)), count)
-        idx = np.arange(ends[-1])
         with np.errstate(over="ignore"):
-            seed = key[live] + (np.uint64(t) * np.uint64(64) + np.uint64(1) - begin.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h = seed[lane] + idx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        idx += (first - begin)[lane]
-        e = -np.log(_uniform(h)) / lat.p[idx]
-        least = np.minimum.reduceat(e, begin)
-        hit = np.flatnonzero(e == least[lane])
-        edge = np.empty(len(live), np.int64)
-        edge[lane[hit][::-1]] = idx[hit][::-1]
-        e[hit] = np.inf
-        others = []
-        for r in range(keep):
-            rest = np.flatnonzero(count > r + 1)
-            if not len(rest):
-                break
-            best = np.minimum.reduceat(e, begin)
-            hit = np.flatnonzero((e == best[lane]) & np.isfinite(e))
-            which = np.zeros(len(live), np.int64)
-            which[lane[hit][::-1]] = idx[hit][::-1]
-            others.append((rest, which[rest], -np.log(best[rest])))
-            e[hit] = np.inf
-        steps.append((live, edge, total[live], -np.log(least), others))
-        total[live] += np.log(lat.p[edge])
+            u = _uniform(key + np.uint64(t + 1) * _STEP)
+        edge = lat.start[node]
+        over = np.flatnonzero(u >= lat.upto[edge])
+        while len(over):
+            edge[over] += 1
+            over = over[u[over] >= lat.upto[edge[over]]]
+        steps.append((live, edge))
         length[live] += 1
-        node[live] = lat.to[edge]
-        live, t = live[node[live] > 0], t + 1
-    # Prefix log-probability: what came before the lane in its text, and within the lane.
-    run = np.cumsum(total) - total
-    before = run - run[np.searchsorted(doc, doc)] + phi0[doc]
+        node = lat.to[edge]
+        go = np.flatnonzero(node)
+        live, node, key, t = live[go], node[go], key[go], t + 1
     offset = np.cumsum(length) - length
-    edge, phi = np.empty(int(length.sum()), np.int64), np.empty(int(length.sum()))
-    where, which, value = [], [], []
-    for t, (lanes, chosen, inner, z, others) in enumerate(steps):
-        here, base = offset[lanes] + t, before[lanes] + inner
-        edge[here], phi[here] = chosen, base
-        roof = top[doc[lanes]] - base
-        for rest, e, g in others:
-            gap = roof[rest] - g + np.log1p(-np.exp(np.minimum(g - z[rest], -1e-300)))
-            where.append(here[rest])
-            which.append(e)
-            value.append(top[doc[lanes[rest]]] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap))))
-    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return np.repeat(doc, length), edge, phi, cat(where, np.int64), cat(which, np.int64), cat(value, float)
+    path = np.empty(int(length.sum()), np.int32)
+    for t, (lanes, edge) in enumerate(steps):
+        path[offset[lanes] + t] = edge
+    return path, length
+
+
+def _regions(lat: Lattices, edge: np.ndarray, phi: np.ndarray, noise: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The best perturbed value, below top, of the other children at each step; -inf where there are none."""
+    node = np.searchsorted(lat.start[: lat.nodes + 1], edge, "right") - 1
+    first, count = lat.start[node].astype(np.int64), (lat.start[node + 1] - lat.start[node]).astype(np.int64)
+    begin = np.cumsum(count) - count
+    i = np.arange(int(count.sum())) + np.repeat(first - begin, count)
+    mass = np.add.reduceat(np.where(i == np.repeat(edge, count), 0.0, np.exp(lat.logp[i])), begin) if len(i) else np.zeros(0)
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp(-top, -(phi + np.log(mass) + noise))
+
+
+def _front(lat: Lattices, edge: np.ndarray, begin: np.ndarray, size: np.ndarray, phi0: np.ndarray, top: np.ndarray, seed: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best regions that each text's path passed by: text, step, bound, log-probability before the step.
+
+    Log-probability falls along a path and a variate exceeds its log-mass by less than NOISE, so steps too improbable to
+    reach the text's k-th bound are not asked.
+    """
+    n, width = len(size), np.minimum(size, FRONT)
+    while True:
+        off = np.cumsum(width) - width
+        text, step = np.repeat(np.arange(n), width), np.arange(int(width.sum())) - np.repeat(off, width)
+        own = edge[begin[text] + step]
+        run = np.concatenate([[0.0], np.cumsum(lat.logp[own])])
+        before = run[:-1] + (phi0 - run[off])[text]
+        last = phi0 + run[off + width] - run[off]
+        with np.errstate(over="ignore"):
+            noise = -np.log(-np.log(_uniform(seed[text] + (step + 1).astype(np.uint64) * _STEP)))
+        value, asked, kth = np.full(len(text), -np.inf), np.zeros(len(text), bool), np.full(n, -np.inf)
+        for least in (phi0 - NEAR, None):
+            at = np.flatnonzero(~asked & (before > least[text] if least is not None else before + noise > kth[text]))
+            asked[at] = True
+            value[at] = _regions(lat, own[at], before[at], noise[at], top[text[at]])
+            some = np.flatnonzero(value > -np.inf)
+            some = some[np.lexsort((some, -value[some], text[some]))]
+            rank = np.arange(len(some)) - np.searchsorted(text[some], text[some])
+            kth[text[some[rank == k - 1]]] = value[some[rank == k - 1]]
+        short = (width < size) & (last + NOISE > kth)
+        if not short.any():
+            some = some[rank < k]
+            return text[some], step[some], value[some], before[some]
+        width[short] = np.minimum(size[short], 4 * width[short])
 
 
 def sample(lat: Lattices, batch: list[bytes], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -296,55 +320,58 @@ def sample(lat: Lattices, batch: list[bytes], keys: np.ndarray, k: int) -> list[
     b, n = _Batch(lat, batch), len(batch)
     seeds = mix64(keys.astype(np.uint64) + np.uint64(0xA5A5A5A5))
     found: list[list[list]] = [[] for _ in range(n)]
-    #: Passed-by children a text: (value, path, place on the path, edge, prefix log-probability).
+    #: The best regions a text: (bound, path, place on the path, edges no longer in it, log-probability before it).
     pool: list[list[tuple]] = [[] for _ in range(n)]
-    lane_doc = np.repeat(np.arange(n), b.doc_size)
+    docs, heads = np.repeat(np.arange(n), b.doc_size), {}
+    top = -np.log(-np.log(_uniform(seeds)))
+    lanes, node, phi0, live = np.arange(len(docs)), b.first, np.zeros(n), np.arange(n)
 
-    def lane_keys(doc: np.ndarray, lane: np.ndarray, turn: int) -> np.ndarray:
+    def turn_keys(turn: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix64(seeds[doc] + np.uint64(turn) * np.uint64(0xD6E8FEB86659FD93) + (lane - b.doc_start[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            return seeds + np.uint64(turn) * np.uint64(0xD6E8FEB86659FD93)
 
-    top = -np.log(-np.log(_uniform(seeds)))
-    lanes = np.arange(len(lane_doc))
-    node, phi0, heads = b.first, np.zeros(n), {}
-    docs = lane_doc
-    live = np.arange(n)
     for turn in range(k):
-        begun = node > 0
-        doc, edge, phi, where, which, value = _descend(lat, node[begun], docs[begun], lane_keys(docs, lanes, turn)[begun], phi0, top, k)
-        bounds = np.searchsorted(doc, np.arange(n + 1)).tolist()
-        for d in live.tolist():
-            own, head = edge[bounds[d] : bounds[d + 1]], heads.get(d)
-            path = own if head is None else np.concatenate([head, own])
-            prob = float(phi[bounds[d + 1] - 1] + np.log(lat.p[own[-1]])) if len(own) else float(phi0[d])
-            found[d].append([path, prob, float(top[d])])
-        owner = doc[where]
-        for _ in range(k):
-            # The best passed-by child of each text that is not in its pool yet.
-            best = np.full(n, -np.inf)
-            np.maximum.at(best, owner, value)
-            hit = np.flatnonzero((value == best[owner]) & np.isfinite(value))
-            if not len(hit):
-                break
-            hit = hit[np.unique(owner[hit], return_index=True)[1]]
-            for d, v, at, e, f in zip(owner[hit].tolist(), value[hit].tolist(), where[hit].tolist(), which[hit].tolist(), phi[where[hit]].tolist()):
-                pool[d].append((v, len(found[d]) - 1, at - bounds[d] + (len(heads[d]) if d in heads else 0), e, f))
-            value[hit] = -np.inf
+        begun = np.flatnonzero(node > 0)
+        seed, doc = turn_keys(turn), docs[begun]
+        with np.errstate(over="ignore"):
+            edge, length = _descend(lat, node[begun], mix64(seed[doc] + (lanes[begun] - b.doc_start[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        size = np.bincount(doc, length, n).astype(np.int64)
+        end = np.cumsum(size)
+        begin, own, total = end - size, np.flatnonzero(size), phi0.copy()
+        if len(own):
+            total[own] += np.add.reduceat(lat.logp[edge], begin[own])
+        for d, x, y, phi, value in zip(live.tolist(), begin[live].tolist(), end[live].tolist(), total[live].tolist(), top[live].tolist()):
+            found[d].append([np.concatenate([heads[d], edge[x:y]]) if d in heads else edge[x:y], phi, value])
+        for d, at, value, phi in zip(*(x.tolist() for x in _front(lat, edge, begin, size, phi0, top, mix64(seed + np.uint64(0x8BB84B93962EACC9)), k))):
+            pool[d].append((value, turn, at + (len(heads[d]) if d in heads else 0), (int(edge[begin[d] + at]),), phi))
         for d in live.tolist():
             pool[d].sort(reverse=True)
             del pool[d][k:]
         if turn == k - 1:
             break
-        # The next sample of a text begins at its best passed-by child.
+        # The next sample of a text is the best of its best region.
         node_parts, lane_parts, doc_parts, heads, phi0, top, nxt = [], [], [], {}, np.zeros(n), np.zeros(n), []
+        with np.errstate(over="ignore"):
+            draw = [_uniform(turn_keys(turn) + np.uint64(c)).tolist() for c in (0x9FB21C651E98DF25, 0xA0761D6478BD642F)]
         for d in live.tolist():
             if not pool[d]:
                 continue
-            value_d, path_no, at, e, prefix = pool[d].pop(0)
+            bound, path_no, at, gone, phi = pool[d].pop(0)
             parent = found[d][path_no][0]
+            here = int(np.searchsorted(lat.start[: lat.nodes + 1], np.int32(gone[0]), "right"))
+            rest = np.array([e for e in range(int(lat.start[here - 1]), int(lat.start[here])) if e not in gone])
+            p = np.exp(lat.logp[rest])
+            i = min(int(np.searchsorted(np.cumsum(p), draw[0][d] * p.sum(), "right")), len(rest) - 1)
+            e = int(rest[i])
+            if len(rest) > 1:  # the others stay a region
+                mass = float(np.delete(p, i).sum())
+                if mass > 0:
+                    g = phi + math.log(mass) - math.log(-math.log(draw[1][d]))
+                    pool[d].append((float(-np.logaddexp(-bound, -g)), path_no, at, (*gone, e), phi))
+                    pool[d].sort(reverse=True)
             lane = int((lat.to[parent[:at]] == 0).sum())  # units that ended before
-            heads[d] = np.append(parent[:at], e)
-            phi0[d], top[d] = prefix + np.log(lat.p[e]), value_d
+            heads[d] = np.append(parent[:at], np.int32(e))
+            phi0[d], top[d] = phi + lat.logp[e], bound
             first, stop = b.doc_start[d] + lane, b.doc_start[d] + b.doc_size[d]
             nodes = b.first[first:stop].copy()
             nodes[0] = lat.to[e]
