@@ -476,6 +476,33 @@ def test_licence_classifier_holds_out():
     assert (right[:-1] / c.sum(1)[:-1]).mean() > 0.93 and c[-1, :-1].sum() <= 0.01 * c[-1].sum()
 
 
+def test_licence_bound_loses_no_candidate(spark):
+    m = licenses.train()
+    base, gain, need = m.gains()
+    rng, used = np.random.RandomState(5), sorted({w for g in m.weights for w in g.split(" ")})
+    texts = ["Released under\nthe\nMIT\n\nLicense.", "zzz MIT License\nqqq\nGNU General\nPublic License qqq", "CC\r\n \r\nBY 4.0\n\n-\nzz", "MIT\u00a0License \u00e9 GNU\u00e9GPL v3", "license " * 300, "zz\n" * 50 + "All rights reserved."]
+    for i in range(150):
+        w = [used[j] if rng.uniform() < 0.8 else "zzz" for j in rng.randint(0, len(used), rng.randint(1, 12))]
+        name = list(NOTICES.values())[i % len(NOTICES)]
+        texts.append(rng.choice([" ", "\n", ", "]).join([*w, name if i % 3 else "", *w[::-1]]))
+    asked = found = 0
+    for t in texts:
+        hit = {c[0] for c in m.judge(t)}
+        for i, p in enumerate(licenses.paragraphs_of(t)):
+            may = base + sum(gain[g] for g in licenses.grams_of(licenses.words_of(p)) if g in gain) >= need
+            assert may or i not in hit
+            asked, found = asked + may, found + (i in hit)
+    assert found > 100
+    prose_may = [base + sum(gain[g] for g in licenses.grams_of(licenses.words_of(t)) if g in gain) >= need for t in CLEAN[3:4] + [prose(200, i) for i in range(20)]]
+    assert not any(prose_may)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in licenses.scan(df).collect():
+        want = m.judge(texts[r.doc_id])
+        assert r.n_paragraphs == len(licenses.paragraphs_of(texts[r.doc_id]))
+        assert [(c.paragraph, c.family, c.confirmed) for c in r.candidates] == [c[:2] + c[4:] for c in want]
+        assert np.allclose([(c.probability, c.similarity) for c in r.candidates], [c[2:4] for c in want], atol=2e-6)
+
+
 def test_bm25(docs, spark, empty, monkeypatch):
     monkeypatch.setattr(bm25, "SEGMENT", 16)
     rows = fixture_rows()

@@ -7,8 +7,11 @@ below, and NEGATIVES word mixtures and near misses. Its temperature and the prob
 on held-out versions. A prediction counts only if the paragraph also shares RESEMBLES of its 2-grams, or of the template's
 where that has fewer, with one of the family's templates.
 
-The model is sparse: a gram is the 64-bit hash of its words, looked up by its low bits in a table of fixed size that holds
-the whole hash, so a gram out of the vocabulary adds nothing. Tables and templates are fixed-size constants in the plan: no
+The model is sparse: a gram is the 64-bit hash of its words, looked up by its low bits in a small table that holds the
+whole hash, so a gram out of the vocabulary adds nothing. Words of no known gram are blanked first, once a line, and
+grams are made of the runs of words that are left; a block's runs are those of its lines, joined. The classes of a paragraph
+are summed only if its bound, the sum of each known gram's largest gain of a family over `unknown`, allows the probability
+that a family needs; no other paragraph can have a candidate. Tables and templates are fixed-size constants in the plan: no
 join, no shuffle.
 
 Defined cases: null or empty texts have no paragraph and no licence; rows are judged one by one, repeated ones each; equal
@@ -112,8 +115,8 @@ SENTENCES = (
 VERSIONS, NEGATIVES, SEED = 200, 2800, 11
 #: Share of known negatives that may pass, and the least share of 2-grams in common with a template.
 FALSE_RATE, RESEMBLES = 0.002, 0.6
-#: Slots of the table of grams.
-SLOTS = 1 << 16
+#: Slots of the hashes of grams, one gram each, and buckets of the table in the plan, which every task reads anew.
+SLOTS, BUCKETS = 1 << 16, 1 << 10
 _NOISE = "a about after all also an and any are as at be been but by can for from had has have he her his if in into is it its more new no not of on one or our out page read see she so some such text than that the their them there these they this time to under up use was we were what when which who will with work would you your version terms software file copy law".split()
 
 
@@ -158,6 +161,12 @@ class Classifier:
     least: float
     confusion: np.ndarray
 
+    def gains(self) -> tuple[float, dict[str, float], float]:
+        """Bias and grams: the largest gain of a family's score over `unknown`; and the sum that a candidate needs."""
+        gain = lambda w: max(w[:-1]) - w[-1]
+        need = self.temperature * float(np.log(self.least / (1 - self.least))) if self.least < 1 else np.inf
+        return gain(self.bias), {g: gain(w) for g, w in self.weights.items()}, need - 1e-6
+
     def probabilities(self, text: str) -> np.ndarray:
         s = np.array(self.bias)
         for g in grams_of(words_of(text)):
@@ -267,40 +276,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", resembles:
     """doc_id, n_paragraphs, candidates (array of struct: paragraph no., family, probability, similarity, confirmed)."""
     m = train()
     constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    slot_key, slot_id = [0] * SLOTS, [0] * SLOTS
-    for i, g in enumerate(m.weights):
-        h = gram_hash(g)
-        slot_key[h % SLOTS], slot_id[h % SLOTS] = h, i
-    keys, ids, weights = constant(slot_key, "array<bigint>"), constant(slot_id, "array<int>"), constant(list(m.weights.values()), "array<array<double>>")
+    # Grams by the low bits of their hash; a gram's number is its bucket's first and its place in it.
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for g in m.weights:
+        buckets[gram_hash(g) % BUCKETS].append(g)
+    grams = [g for b in buckets for g in b]
+    base, gains, need = m.gains()
+    keys, begin = constant([[gram_hash(g) for g in b] for b in buckets], "array<array<bigint>>"), constant(np.cumsum([0, *map(len, buckets[:-1])]).tolist(), "array<int>")
+    weights, gain = constant([m.weights[g] for g in grams], "array<array<double>>"), constant([gains[g] for g in grams], "array<double>")
     bias, names = F.array(*[F.lit(v) for v in m.bias]), F.array(*[F.lit(c) for c in m.classes])
-    slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     none = F.array().cast("array<bigint>")
+    used = sorted({w for g in m.weights for w in g.split(" ")})
 
     def pairs(u: Column) -> Column:
         return F.when(F.size(u) > 1, F.transform(F.sequence(F.lit(1), F.size(u) - 1), lambda i: F.xxhash64(F.get(u, i - 1), F.get(u, i)))).otherwise(none)
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    # Blocks of lines of word hashes; a line without a word is none.
-    line = lambda p: F.transform(F.array_remove(F.split(p, "[^a-z0-9]+"), ""), lambda w: F.xxhash64(w))
+    # Blocks of lines of words; a line without a word is none.
+    line = lambda p: F.array_remove(F.split(p, "[^a-z0-9]+"), "")
     block = lambda b: F.filter(F.transform(F.split(b, "\n"), line), lambda u: F.size(u) > 0)
     df = df.select("doc_id", F.transform(F.split("_t", "\n[ \\t\\r]*\n"), block).alias("_l"))
-    df = df.select("doc_id", F.concat(F.flatten("_l"), F.transform(F.filter("_l", lambda b: F.size(b) > 1), lambda b: F.flatten(b))).alias("_u"))
-    df = df.withColumn("_n", F.size("_u"))
-    df = df.withColumn("_b", F.transform("_u", pairs))
-    known = lambda a: F.filter(a, lambda h: F.get(keys, slot(h)) == h)
-    df = df.withColumn("_h", F.zip_with("_u", "_b", lambda u, b: F.array_distinct(F.concat(known(u), known(b)))))
-    score = lambda h: F.aggregate(h, bias, lambda a, x: F.zip_with(a, F.get(weights, F.get(ids, slot(x))), lambda p, q: p + q))
-    df = df.withColumn("_s", F.transform("_h", lambda h: F.when(F.size(h) > 0, score(h)).otherwise(bias)))
+    # The same with a word of no known gram blank, so that words with one space between are neighbours.
+    blanked = lambda u: F.array_join(F.transform(u, lambda w: F.when(w.isin(used), w).otherwise("")), " ")
+    df = df.withColumn("_m", F.transform("_l", lambda b: F.transform(b, blanked)))
+    df = df.withColumn("_m", F.concat(F.flatten("_m"), F.transform(F.filter("_m", lambda b: F.size(b) > 1), lambda b: F.array_join(b, " "))))
+    df = df.withColumn("_n", F.size("_m"))
+    runs = lambda t: F.transform(F.filter(F.split(t, "  +"), lambda r: r != ""), lambda r: F.transform(F.split(F.trim(r), " "), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_r", F.transform("_m", runs))
+    known = lambda a: F.filter(a, lambda h: F.array_position(F.get(keys, bucket(h)), h) > 0)
+    number = lambda h: (F.get(begin, bucket(h)) + F.array_position(F.get(keys, bucket(h)), h) - 1).cast("int")
+    found = lambda r: F.transform(F.array_distinct(known(F.concat(F.flatten(r), F.flatten(F.transform(r, pairs))))), number)
+    df = df.withColumn("_h", F.transform("_r", lambda r, i: F.struct(i.alias("i"), found(r).alias("h"))))
+    bound = lambda h: F.aggregate(h, F.lit(base), lambda a, x: a + F.get(gain, x))
+    df = df.withColumn("_h", F.filter("_h", lambda x: bound(x["h"]) >= need))
+    score = lambda h: F.aggregate(h, bias, lambda a, x: F.zip_with(a, F.get(weights, x), lambda p, q: p + q))
+    df = df.withColumn("_s", F.transform("_h", lambda x: F.struct(x["i"].alias("i"), score(x["h"]).alias("s"))))
     best = lambda s, i: F.struct(i.alias("i"), F.element_at(names, F.array_position(s, F.array_max(s)).cast("int")).alias("f"), (F.lit(1.0) / F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp((v - F.array_max(s)) / m.temperature))).alias("p"))
-    df = df.withColumn("_c", F.filter(F.transform("_s", best), lambda x: (x["f"] != UNKNOWN) & (x["p"] >= m.least)))
+    df = df.withColumn("_c", F.filter(F.transform("_s", lambda x: best(x["s"], x["i"])), lambda x: (x["f"] != UNKNOWN) & (x["p"] >= m.least)))
     templates = constant([{"f": f, "g": [gram_hash(g) for g in grams_of(words_of(t)) if " " in g]} for f in TEMPLATES for t in templates_of(f)], "array<struct<f:string,g:array<bigint>>>")
 
+    every = F.concat(F.flatten("_l"), F.transform(F.filter("_l", lambda b: F.size(b) > 1), lambda b: F.flatten(b)))
+
+    # In steps, each value once a candidate: its words, its 2-grams, then its similarity.
+    step = lambda name, value: F.transform("_c", lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"), x["p"].alias("p"), value(x).alias(name)))
+    df = df.withColumn("_c", step("u", lambda x: F.transform(F.get(every, x["i"]), lambda w: F.xxhash64(w))))
+    df = df.withColumn("_c", step("g", lambda x: F.array_distinct(pairs(x["u"]))))
+
     def like(x: Column) -> Column:
-        mine = F.array_distinct(F.get("_b", x["i"]))
-        share = lambda t: F.size(F.array_intersect(t["g"], mine)) / F.greatest(F.least(F.size(t["g"]), F.size(mine)), F.lit(1))
+        share = lambda t: F.size(F.array_intersect(t["g"], x["g"])) / F.greatest(F.least(F.size(t["g"]), F.size(x["g"])), F.lit(1))
         return F.coalesce(F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == x["f"]), share)), F.lit(0.0))
 
-    rated = F.transform("_c", lambda x: F.struct(x["i"].alias("paragraph"), x["f"].alias("family"), F.round(x["p"], 6).alias("probability"), F.round(like(x), 6).alias("similarity"), (like(x) >= resembles).alias("confirmed")))
+    df = df.withColumn("_c", step("s", like))
+    rated = F.transform("_c", lambda x: F.struct(x["i"].alias("paragraph"), x["f"].alias("family"), F.round(x["p"], 6).alias("probability"), F.round(x["s"], 6).alias("similarity"), (x["s"] >= resembles).alias("confirmed")))
     return df.select("doc_id", F.col("_n").cast("long").alias("n_paragraphs"), rated.alias("candidates"))
 
 
